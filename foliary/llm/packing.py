@@ -55,7 +55,7 @@ def encoder(path: str):
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, source, n, ids): ids as little-endian unsigned 32-bit numbers of 3 bytes each, the end id last."""
+    """(doc_id, source, tie, n, ids): little-endian ids of 2 bytes each, or 4 where one needs them, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
