@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.scratch import bucket_of, materialize, prefix_sums, small
+from foliary.llm.scratch import bucket_of, keyed, materialize, prefix_sums, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -46,8 +46,29 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epoch
     return out.select("source", "source_size", F.col("_rank").alias("rank"), target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of documents.
+def takes(docs: DataFrame, *, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, source, id, tie, size, source_size, target, full and part of each row: whole copies, and words of one more."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    id_, tie = keyed(docs)
+    sized = materialize(docs.select("doc_id", "source", id_, tie, word_count(F.col("text")).alias("size"), key.alias("_key")), "sized")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    sources = materialize(sources, "sources")
+    goals = source_targets(sources.drop("_rows"), weights, epochs)
+    goals = goals.join(sources.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("source")
+    goals = materialize(goals.withColumn("_ranges", F.least(F.lit(MAX_RANGES), F.ceil(F.col("_rows") / RANGE_ROWS)).cast("long")), "targets")
+    rows = sized.join(small(goals, goals.count()), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    h31 = F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), 1)
+    rows = rows.withColumn("_range", bucket_of(h31, F.col("_ranges")))
+    rows = prefix_sums(rows, ["rank"], "_range", ["_key", "doc_id", "size", "tie"], "size", "_before")
+    budget = F.least(F.round("target").cast("long"), F.col("source_size") * epochs)
+    full = F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("_budget", budget).withColumn("full", full)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_budget") - F.col("full") * F.col("source_size") - F.col("_before")))
+    return rows.select("doc_id", "source", "id", "tie", "size", "source_size", "target", "full", part.cast("long").alias("part"))
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) for each row of documents.
 
     Rows of a source stand in the order of a hash of doc_id (size and text hash break ties); their sizes' prefix
     sums, taken range by range of the hash, say which fall within the source's budget. Whole epochs repeat every row;
@@ -55,22 +76,29 @@ def mix_sources(docs: DataFrame, *, seed: str = "mix", weights: tuple[int, ...]
     word. A null text has size 0, a null source is a source, a null doc_id hashes as the empty string, and
     equal rows are taken one after another. No rows give no rows; other columns are ignored.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("_tie"))
-    sized = materialize(sized, "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    sources = materialize(sources, "sources")
-    goals = materialize(source_targets(sources.drop("_rows"), weights, epochs).join(sources.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "targets")
-    goals = goals.withColumn("_ranges", F.least(F.lit(MAX_RANGES), F.ceil(F.col("_rows") / RANGE_ROWS)).cast("long"))
-    rows = sized.join(small(goals.withColumnRenamed("source", "_s"), goals.count()), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    h31 = F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), 1)
-    rows = rows.withColumn("_range", bucket_of(h31, F.col("_ranges")))
-    rows = prefix_sums(rows, ["rank"], "_range", ["_key", "doc_id", "size", "_tie"], "size", "_before")
-    budget = F.least(F.round("target").cast("long"), F.col("source_size") * epochs)
-    full = F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0))
-    rows = rows.withColumn("_budget", budget).withColumn("_full", full)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_budget") - F.col("_full") * F.col("source_size") - F.col("_before")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("_full") * F.col("size") + part).cast("long").alias("taken"), "source")
+    rows = takes(docs, **options)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), "source")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """documents as the mix takes them: a row for each copy, the one at a budget's edge cut after its last word."""
+    columns = docs.columns
+    none = F.array().cast("array<long>")
+    copies = F.concat(F.array_repeat("size", F.col("full").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(none))
+    rows = takes(docs.select("doc_id", "source", "text"), **options).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), copies.alias("_copies"))
+    rows = materialize(rows, "copies")
+    id_, tie = keyed(docs)
+    out = docs.withColumns({"_id": id_, "_tie": tie})
+    if rows.groupBy("_id", "_tie").count().where("count > 1").head(1):
+        rows = rows.groupBy("_id", "_tie", "_size").agg(F.flatten(F.collect_list("_copies")).alias("_copies"))
+        out = out.dropDuplicates(["_id", "_tie"])
+    out = out.join(rows, ["_id", "_tie"]).withColumn("_n", F.explode("_copies"))
+    whole = F.col("_n") >= F.col("_size")
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_n").cast("int")), "")))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*columns)
 
 
 #: The same rows as op1 in DuckDB's SQL.

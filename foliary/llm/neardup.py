@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from foliary.llm.components import components
 from foliary.llm.flat import blocks, copies, mix, shingles, word_hashes
-from foliary.llm.repeats import keyed
-from foliary.llm.scratch import materialize
+from foliary.llm.scratch import NO_ID, keyed, materialize
 
 #: Coordinates in bands of rows: at a likeness of 0.8 a pair meets in no band with odds of 6e-5, at 0.5 in one with 0.39.
 BANDS, ROWS = 32, 6
@@ -171,7 +170,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     rows = materialize(classes(docs.select("doc_id", "text")), "classes")
     sizes = rows.groupBy("class").agg(F.min(F.struct("id", "rid")).alias("least"), F.count(F.lit(1)).alias("class_size"))
     rows = rows.join(sizes, "class")
-    none = lambda c: F.when(c != -(2**63), c)
+    none = lambda c: F.when(c != NO_ID, c)
     return rows.select(none(F.col("id")).alias("doc_id"), none(F.col("least.id")).alias("class_id"), "class_size", (F.col("rid") == F.col("least.rid")).alias("keep"))
 
 

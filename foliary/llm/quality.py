@@ -20,8 +20,11 @@ P = len(DIMS)
 #: Share of rows the covariance is fitted to; the factor that makes it consistent for normal data in P dimensions.
 SUBSET, SCALE = 0.75, 1.36
 C_STEPS = 4
-#: Squared distance beyond which a row is an outlier; a chi-square of 6 degrees passes it with odds of about 1e-9.
-LIMIT = 54.0
+#: Squared distance beyond which a row is an outlier; a chi-square of 6 degrees passes it with odds of 1e-6.
+LIMIT = 38.26
+#: Shares are taken as if a text had so many typical characters, words or lines more: a few marks in a short text
+#: say little.
+MORE_CHARS, MORE_WORDS, MORE_LINES, USUAL_LEN, USUAL_OTHER = 50, 20, 5, 5.0, 0.04
 #: Groups with fewer rows are judged with their language's other small groups, or else with all small ones.
 MIN_GROUP = 100
 
@@ -93,8 +96,8 @@ def distance() -> Column:
 
 
 def transformed(rows: DataFrame) -> DataFrame:
-    part = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    xs = (F.log1p("n_words"), F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), part("n_symbols", "word_chars"), part("n_dup_lines", "n_lines"), part("n_repeat_words", "n_words"), part("n_other", "word_chars"))
+    share = lambda a, b, more, usual=0.0: (F.col(a) + more * usual) / (F.col(b) + more)
+    xs = (F.log1p("n_words"), share("word_chars", "n_words", MORE_WORDS, USUAL_LEN), F.sqrt(share("n_symbols", "word_chars", MORE_CHARS)), F.sqrt(share("n_dup_lines", "n_lines", MORE_LINES)), F.sqrt(share("n_repeat_words", "n_words", MORE_WORDS)), F.sqrt(share("n_other", "word_chars", MORE_CHARS, USUAL_OTHER)))
     return rows.withColumns({n: F.least(x, F.lit(50.0)) for n, x in zip(DIMS, xs, strict=True)})
 
 

@@ -76,6 +76,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from foliary.llm.chat import ORACLE as CHAT
     from foliary.llm.mixing import ORACLE as MIX
+    from foliary.llm.urls import ORACLE as URLS
 
-    return {"op1_mix_sources": MIX}
+    return {"op1_mix_sources": MIX, "op2_chat_prefix_tree": CHAT, "op9_url_filter": URLS}

@@ -7,17 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm.flat import Rolling, blocks, mix
-from foliary.llm.scratch import materialize
+from foliary.llm.scratch import keyed, materialize
 
 #: Length that counts as a repeat; bytes a trigger hashes; positions one trigger must fall in.
 LENGTH, GRAM, REACH = 400, 16, 160
 #: A repeat's first trigger starts less than REACH after it does, so these bytes from the trigger on are in it.
 CORE = LENGTH - REACH
-NO_ID = -(2**63)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -126,11 +125,6 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["id", "tie", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def keyed(docs: DataFrame) -> tuple[Column, Column]:
-    """doc_id (null as a number of its own) and a hash of the text: rows with equal keys have equal texts."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie")
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, tie, spans): for each text with repeats, byte ranges whose union is what repeats cover.
 

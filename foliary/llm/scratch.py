@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of a table that may be broadcast; with the narrow rows used here that is a few MB.
 BROADCAST_ROWS = 50_000
+#: Stands for a null doc_id in keys.
+NO_ID = -(2**63)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -57,3 +59,8 @@ def prefix_sums(df: DataFrame, groups: list[str], bucket: str, order: list, valu
     inside = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.join(base, [*groups, bucket])
     return df.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_base")
+
+
+def keyed(docs: DataFrame) -> tuple[Column, Column]:
+    """doc_id (null as a number of its own) and a hash of the text: rows with equal keys have equal texts."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie")
