@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ COORDS = BANDS * ROWS
 THRESHOLD = 0.8
 #: Rounds in which buckets compare with one member, before the rest is compared in full.
 STAR_ROUNDS = 3
+#: Coordinates on which alike texts agree at least: four standard errors under the mean at the threshold.
+LEAST_AGREE = int(THRESHOLD * COORDS - 4 * (THRESHOLD * (1 - THRESHOLD) * COORDS) ** 0.5)
+#: Nodes of a bucket that one task holds of either side.
+BLOCK_NODES = 512
 
 
 def regions(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +74,8 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             region, doc = regions(data, offs)
             sig = dart_minhash(region, doc, j - i)
             bands = np.zeros((j - i, BANDS), np.uint64)
-            for r in range(ROWS):
-                bands = mix(bands * np.uint64(31) + sig[:, r::ROWS])
+            for r in range(ROWS):  # band k has coordinates k, k + BANDS, ...
+                bands = mix(bands * np.uint64(31) + sig[:, r * BANDS : (r + 1) * BANDS])
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
             weight = np.bincount(doc, minlength=j - i)
             at = np.where(weight > 0, BANDS, 0)
@@ -79,25 +84,88 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted regions of each document."""
+    """The sorted regions and the signature of each document, two bytes a coordinate."""
     for batch in batches:
         for i, j, data, offs in blocks(batch.column("text")):
             region, doc = regions(data, offs)
+            sig = dart_minhash(region, doc, j - i)
             order = np.lexsort((region, doc))
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))])
             region = region[order]
             raw = [region[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(raw, pa.binary())], ["node", "regions"])
+            short = [x.tobytes() for x in (sig >> np.uint64(48)).astype(np.uint16)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(raw, pa.binary()), pa.array(short, pa.binary())], ["node", "regions", "sig"])
+
+
+def alike(x: bytes, y: bytes) -> bool:
+    """Whether two bags of regions reach the threshold."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= THRESHOLD * (len(x) + len(y) - shared)
+
+
+def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between classes in a block of a bucket, or between two blocks of it; enough of them to join the classes.
+
+    Signatures that agree on too few coordinates are passed over; pairs that share an earlier band are that bucket's.
+    The likeliest pairs come first, and pairs whose classes are joined by then need no check.
+    """
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    one, two = int(rows["one"].iloc[0]), int(rows["two"].iloc[0])
+    left, right = rows[rows.block == one], rows[rows.block == two]
+    if not len(left) or not len(right):
+        return none
+    x, y = (np.frombuffer(b"".join(r.sig), np.uint16).reshape(len(r), COORDS) for r in (left, right))
+    agree, before = np.zeros((len(x), len(y)), np.int16), np.zeros((len(x), len(y)), bool)
+    band = int(rows["band"].iloc[0])
+    for k in range(BANDS):
+        all_ = np.ones_like(before)
+        for c in range(k, COORDS, BANDS):
+            eq = x[:, c, None] == y[None, :, c]
+            agree += eq
+            all_ &= eq
+        if k < band:
+            before |= all_
+    roots = left["root"].to_numpy(), right["root"].to_numpy()
+    ok = (agree >= LEAST_AGREE) & ~before & (roots[0][:, None] != roots[1][None, :])
+    if one == two:
+        ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+    i, j = np.nonzero(ok)
+    order = np.argsort(-agree[i, j], kind="stable")
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (p := parent.get(v, v)) != v:
+            parent[v] = v = parent.get(p, p)
+        return v
+
+    sets = left["regions"].to_numpy(), right["regions"].to_numpy()
+    nodes = left["node"].to_numpy(), right["node"].to_numpy()
+    out = []
+    for p, q in zip(i[order], j[order], strict=True):
+        u, v = find(int(roots[0][p])), find(int(roots[1][q]))
+        if u != v and alike(sets[0][p], sets[1][q]):
+            parent[max(u, v)] = min(u, v)
+            out.append((nodes[0][p], nodes[1][q]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else none
+
+
+def compare_all(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join the classes of each bucket, from all of its pairs, block by block. Only links are rows."""
+    n = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
+    rows = rows.join(n, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    mates = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("one"), F.greatest(F.col("block"), o).alias("two")))
+    rows = rows.select("key", "band", "node", "root", "block", F.explode(mates).alias("m")).select("key", "band", "node", "root", "block", "m.*")
+    rows = rows.join(sets, "node")
+    return rows.groupBy("key", "one", "two").applyInPandas(compare_block, "a long, b long")
 
 
 def likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose weighted Jaccard likeness reaches the threshold."""
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(shared >= THRESHOLD * (len(x) + len(y) - shared))
+        ok = [alike(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
@@ -115,7 +183,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Equal texts share a node, so copies never pair up. A node's 32 band hashes put it in buckets; buckets of several
     nodes compare all with one member (another one each round) by exact weighted Jaccard, and links merge classes.
-    Buckets that then still hold several classes compare them in full, so no candidate is left out.
+    Buckets that then still hold several classes compare them in full, in blocks, and only links come out of it.
     """
     id_, tie = keyed(docs)
     same = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("same")
@@ -127,15 +195,17 @@ def classes(docs: DataFrame) -> DataFrame:
     member = signed.select("id", "tie", "rid", blank.alias("same")).join(nodes, "same").select("id", "tie", "rid", "node")
     member = materialize(member, "members")
     own = member.where("rid = node").select("rid")
-    bands = signed.select("rid", F.explode("bands").alias("key")).join(own, "rid", "left_semi")
+    bands = signed.select("rid", F.posexplode("bands").alias("band", "key")).join(own, "rid", "left_semi")
     often = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = materialize(bands.join(often, "key").select("key", F.col("rid").alias("node")), "buckets")
+    buckets = materialize(bands.join(often, "key").select("key", "band", F.col("rid").alias("node")), "buckets")
     wanted = member.join(buckets.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi").select("id", "tie", "node")
     sets = texts.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("node", "text")
-    sets = materialize(sets.mapInArrow(gather, "node long, regions binary"), "regions").dropDuplicates(["node"])
+    sets = materialize(sets.mapInArrow(gather, "node long, regions binary, sig binary"), "regions")
+    if sets.count() > wanted.count():  # rows equal in doc_id and text
+        sets = materialize(sets.dropDuplicates(["node"]), "regions")
     links, roots = None, None
     for r in range(STAR_ROUNDS + 1):
-        rows = buckets if roots is None else buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        rows = buckets if roots is None else buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
         if roots is not None:
             open_ = rows.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
             rows = rows.join(open_, "key", "left_semi")
@@ -148,10 +218,9 @@ def classes(docs: DataFrame) -> DataFrame:
             pick = F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "root"))
             centre = rows.groupBy("key").agg(pick.alias("c")).select("key", F.col("c.node").alias("c"), F.col("c.root").alias("cr"))
             pairs = rows.join(centre, "key").where("root <> cr").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+            new = materialize(linked(pairs, sets), "links")
         else:
-            other = rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = rows.withColumnRenamed("node", "a").join(other, "key").where("root <> rb and a < b")
-        new = materialize(linked(pairs, sets), "links")
+            new = materialize(compare_all(rows, sets), "links")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
     if roots is None:

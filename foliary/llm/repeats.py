@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm.flat import Rolling, blocks, mix
-from foliary.llm.scratch import keyed, materialize
+from foliary.llm.scratch import discard, keyed, materialize
 
 #: Length that counts as a repeat; bytes a trigger hashes; positions one trigger must fall in.
-LENGTH, GRAM, REACH = 400, 16, 160
+LENGTH, GRAM, REACH = 400, 16, 240
 #: A repeat's first trigger starts less than REACH after it does, so these bytes from the trigger on are in it.
 CORE = LENGTH - REACH
+#: Starts that are compared at once before single ones.
+CHUNK = 16
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -30,14 +32,17 @@ def grams(data: np.ndarray) -> np.ndarray:
     return (mix(h) >> np.uint64(32)).astype(np.uint32)
 
 
-def triggers(data: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Where phrases start: positions whose rolling hash is the least (the rightmost such) of some reach positions.
+def triggers(data: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where phrases start, and how far before each the starts of repeats it answers for lie, at least and at most.
 
-    What lies around a trigger alone makes it one, and any reach positions hold one. Block minima from the left and
-    the right give each window's least (hash, -position) in constant time.
+    A trigger is a position whose rolling hash is the least (the rightmost such) of some reach positions; a repeat
+    that starts at the first of them is that trigger's. The bytes of the repeat alone decide which one it is, so it is
+    the same in every occurrence. Block minima from the left and the right give each window's least
+    (hash, -position) in constant time.
     """
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64)
+        z = np.zeros(0, np.int64)
+        return z, z, z
     h = grams(data)
     n = len(h)
     v = (h.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
@@ -47,18 +52,19 @@ def triggers(data: np.ndarray, reach: int = REACH) -> np.ndarray:
     rows = pad.reshape(-1, reach)
     left = np.minimum.accumulate(rows, axis=1).ravel()
     right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[: n - reach + 1], left[reach - 1 : n])
+    least = np.minimum(right[: n - reach + 1], left[reach - 1 : n])[: len(data) - LENGTH + 1]
     at = (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    return at[np.flatnonzero(np.diff(at, prepend=-1))]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    last = np.append(first[1:], len(at)) - 1
+    at = at[first]
+    return at, at - last, at - first
 
 
-def contexts(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For triggers of documents that span [first, last): hash of the core, hash of all a repeat can touch, and how
-    far before the trigger a repeat may start at least and at most."""
+def contexts(data: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each trigger's core, and of all that its repeats can touch."""
     core = mix(Rolling(data, 0)(at, at + CORE))
-    lo, hi = np.maximum(first, at - REACH + 1), np.minimum(last, at + LENGTH)
-    whole = mix(Rolling(data, 1)(lo, hi) + ((at - lo) * 1000 + (hi - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return core, whole, np.maximum(0, at + LENGTH - last), np.minimum(REACH - 1, at - first)
+    whole = Rolling(data, 1)(at - most, at - least + LENGTH)
+    return core, mix(whole + (least * 1000 + most).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,40 +72,69 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, ties = batch.column("id").to_numpy(), batch.column("tie").to_numpy()
         for i, _, data, offs in blocks(batch.column("text")):
-            places, docs = [], []
+            found: list[tuple] = []
             for d in np.flatnonzero(np.diff(offs) >= LENGTH):
-                t = triggers(data[offs[d] : offs[d + 1]])
-                t = t[t + CORE <= offs[d + 1] - offs[d]]
-                places.append(t + offs[d])
-                docs.append(np.full(len(t), d))
-            if not places:
+                t, least, most = triggers(data[offs[d] : offs[d + 1]])
+                found.append((t + offs[d], least, most, np.full(len(t), d)))
+            if not found:
                 continue
-            at, doc = np.concatenate(places), np.concatenate(docs)
-            core, whole, least, most = contexts(data, at, offs[doc], offs[doc + 1])
+            at, least, most, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            core, whole = contexts(data, at, least, most)
             place = (at - offs[doc]) << 20 | least << 10 | most
             cols = [core.view(np.int64), whole.view(np.int64), ids[i + doc], ties[i + doc], place]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["core", "whole", "id", "tie", "place"])
 
 
-def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For contexts that differ around an equal core: the hash of the LENGTH bytes from each start."""
+def _seeds(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+    """The seeds of each row, as arrays by field."""
+    flat = column.flatten()
+    fields = {f.name: flat.field(f.name).to_numpy() for f in column.type.value_type}
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in column])])
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield {k: v[a:b] for k, v in fields.items()}
+
+
+def chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For contexts that differ around an equal core, by CHUNK starts: a hash of the bytes that all the starts'
+    strings share, and one of all the bytes that any of them has."""
+    names = ["core", "whole", "chunk", "weak", "strong", "n", "id", "tie", "place"]
     for batch in batches:
-        for text, seeds in zip(batch.column("text"), batch.column("seeds").to_pylist(), strict=True):
+        out: list[list] = [[] for _ in names]
+        for text, s, id_, tie in zip(batch.column("text"), _seeds(batch.column("seeds")), batch.column("id").to_numpy(), batch.column("tie").to_numpy(), strict=True):
             data = np.frombuffer(text.as_buffer(), np.uint8)
             roll = Rolling(data, 1)
-            core = np.array([s["core"] for s in seeds], np.int64)
-            whole = np.array([s["whole"] for s in seeds], np.int64)
-            place = np.array([s["place"] for s in seeds], np.int64)
-            at, least, most = place >> 20, place >> 10 & 1023, place & 1023
+            at, least, most = s["place"] >> 20, s["place"] >> 10 & 1023, s["place"] & 1023
+            n = most // CHUNK - least // CHUNK + 1
+            w = np.repeat(np.arange(len(n)), n)
+            chunk = (least // CHUNK)[w] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+            lo, hi, a = chunk * CHUNK, chunk * CHUNK + CHUNK - 1, at[w]
+            weak = mix(roll(a - lo, a - hi + LENGTH) + chunk.astype(np.uint64))
+            b, e = np.maximum(0, a - hi), np.minimum(len(data), a - lo + LENGTH)
+            strong = mix(roll(b, e) + ((a - b) * 1000 + (e - a)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            for c, x in zip(out, (s["core"][w], s["whole"][w], chunk, weak.view(np.int64), strong.view(np.int64), s["n"][w], np.full(len(w), id_), np.full(len(w), tie), s["place"][w]), strict=True):
+                c.append(x)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
+
+
+def start_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For chunks that differ though they share what all their starts do: the hash of the string of each start."""
+    names = ["core", "strong", "before", "h"]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        for text, s in zip(batch.column("text"), _seeds(batch.column("seeds")), strict=True):
+            roll = Rolling(np.frombuffer(text.as_buffer(), np.uint8), 1)
+            at = s["place"] >> 20
+            least = np.maximum(s["place"] >> 10 & 1023, s["chunk"] * CHUNK)
+            most = np.minimum(s["place"] & 1023, s["chunk"] * CHUNK + CHUNK - 1)
             n = np.maximum(0, most - least + 1)
-            which = np.repeat(np.arange(len(n)), n)
-            before = least[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            s = at[which] - before
-            h = mix(roll(s, s + LENGTH) + before.astype(np.uint64))
-            for j in range(0, len(s), 200_000):
-                e = slice(j, j + 200_000)
-                cols = [core[which[e]], whole[which[e]], before[e].astype(np.int32), h[e].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["core", "whole", "before", "h"])
+            w = np.repeat(np.arange(len(n)), n)
+            before = least[w] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+            h = mix(roll(at[w] - before, at[w] - before + LENGTH) + before.astype(np.uint64))
+            for c, x in zip(out, (s["core"][w], s["strong"][w], before, h.view(np.int64)), strict=True):
+                c.append(x)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,32 +167,46 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Its first trigger lies less than REACH bytes in, so both occurrences meet at suffixes of the parse that start
     there and share CORE bytes. The corpus order of suffixes is needed only to the depth of one repeat, so the sort of
     the parse is truncated to that depth and done by hash: suffixes with the same core share a rank. Where all that a
-    repeat can touch around a trigger is equal in two places, every start before it is a repeat. Else the core's
-    distinct contexts are compared start by start; there a context stands for all places that have it.
+    trigger's repeats can touch is equal in two places, every start is a repeat. Else the core's distinct contexts are
+    compared CHUNK starts at a time, and where chunks share only a part, start by start; one place stands for all
+    that are equal so far.
     """
     id_, tie = keyed(docs)
     texts = docs.select(id_, tie, F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.octet_length("text") >= LENGTH)
+    one, n = F.min(F.struct("id", "tie", "place")).alias("one"), F.count(F.lit(1)).alias("n")
+    differ = lambda c: [F.min(c).alias("a"), F.max(c).alias("b")]
+    by_text = lambda rows, *cols: texts.join(rows.groupBy("id", "tie").agg(F.collect_list(F.struct(*cols)).alias("seeds")), ["id", "tie"])
+
     suffixes = materialize(texts.mapInArrow(parse, "core long, whole long, id long, tie long, place long"), "parse")
-    often = suffixes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    often = suffixes.groupBy("core").agg(n).where("n > 1").select("core")
     seeds = materialize(suffixes.join(often, "core"), "seeds")
-    classes = seeds.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tie", "place")).alias("one"))
-    mixed = seeds.groupBy("core").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a < b").select("core")
-    classes = materialize(classes.join(mixed.withColumn("mixed", F.lit(True)), "core", "left"), "classes")
-    asked = classes.where("mixed").select("core", "whole", "one.*")
-    asked = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("core", "whole", "place")).alias("seeds"))
-    at = texts.join(asked, ["id", "tie"]).select("text", "seeds").mapInArrow(starts, "core long, whole long, before int, h long").distinct()
-    at = materialize(at, "starts")
-    same = at.groupBy("core", "before", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "before", "h")
-    found = at.join(same, ["core", "before", "h"]).groupBy("core", "whole").agg(F.min("before").cast("long").alias("least"), F.max("before").cast("long").alias("most"))
-    whole = classes.where("n > 1").select("core", "whole", F.lit(0).cast("long").alias("least"), F.lit(REACH).cast("long").alias("most"))
-    good = whole.unionByName(found).groupBy("core", "whole").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    discard(suffixes)
+    classes = seeds.groupBy("core", "whole").agg(n, one)
+    mixed = seeds.groupBy("core").agg(*differ("whole")).where("a < b").select("core", F.lit(True).alias("mixed"))
+    classes = materialize(classes.join(mixed, "core", "left"), "classes")
+
+    asked = by_text(classes.where("mixed").select("core", "whole", "n", "one.*"), "core", "whole", "place", "n")
+    chunks = asked.select("text", "seeds", "id", "tie").mapInArrow(chunk_keys, "core long, whole long, chunk long, weak long, strong long, n long, id long, tie long, place long")
+    chunks = materialize(chunks, "chunks")
+    alike = materialize(chunks.groupBy("core", "chunk", "weak", "strong").agg(F.sum("n").alias("n"), one), "alike")
+    partly = alike.groupBy("core", "chunk", "weak").agg(*differ("strong")).where("a < b").select("core", "chunk", "weak")
+    asked = by_text(alike.join(partly, ["core", "chunk", "weak"]).select("core", "chunk", "strong", "one.*"), "core", "chunk", "strong", "place")
+    starts = materialize(asked.select("text", "seeds").mapInArrow(start_keys, "core long, strong long, before long, h long"), "starts")
+    same = starts.groupBy("core", "before", "h").agg(*differ("strong")).where("a < b").select("core", "before", "h")
+    found = starts.join(same, ["core", "before", "h"]).groupBy("core", "strong").agg(F.min("before").alias("l"), F.max("before").alias("m"))
+
+    lo, hi = F.col("chunk") * CHUNK, F.col("chunk") * CHUNK + (CHUNK - 1)
+    lone = chunks.where("n = 1").select("core", "whole", "strong", lo.alias("l"), hi.alias("m"))
+    full = lone.join(alike.where("n > 1").select("core", "strong"), ["core", "strong"]).select("core", "whole", "l", "m")
+    some = lone.drop("l", "m").join(found, ["core", "strong"]).select("core", "whole", "l", "m")
+    every = classes.where("n > 1").select("core", "whole", F.lit(0).cast("long").alias("l"), F.lit(REACH).cast("long").alias("m"))
+    good = every.unionByName(full).unionByName(some).groupBy("core", "whole").agg(F.min("l").alias("l"), F.max("m").alias("m"))
     place = F.col("place")
-    at = F.shiftright(place, 20)
-    least = F.greatest("least", F.shiftright(place, 10).bitwiseAND(F.lit(1023)))
-    most = F.least("most", place.bitwiseAND(F.lit(1023)))
-    spans = seeds.join(good, ["core", "whole"]).select("id", "tie", at.alias("at"), least.alias("l"), most.alias("m")).where("l <= m")
+    least = F.greatest("l", F.shiftright(place, 10).bitwiseAND(F.lit(1023)))
+    most = F.least("m", place.bitwiseAND(F.lit(1023)))
+    spans = seeds.join(good, ["core", "whole"]).select("id", "tie", F.shiftright(place, 20).alias("at"), least.alias("l"), most.alias("m"))
     spans = spans.select("id", "tie", (F.col("at") - F.col("m")).alias("lo"), (F.col("at") - F.col("l") + LENGTH).alias("hi"))
-    return spans.groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return materialize(spans.groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
 def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -27,9 +27,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs only running tasks."""
-    path = f"{scratch_root(df.sparkSession).rstrip('/')}/foliary/{uuid.uuid4().hex}/{name}"
+    spark = df.sparkSession
+    path = f"{scratch_root(spark).rstrip('/')}/foliary/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished queries now, not in half an hour
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing lazy reads it any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
