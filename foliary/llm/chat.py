@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.scratch import materialize
+from foliary.llm.scratch import NO_ID, materialize
 
 CONTROL = r"\### Assistant: </turn> ok"
 CONTROL_ROWS = [(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)]
@@ -41,7 +41,7 @@ def unescape(text: str) -> str:
 def turns(talks: DataFrame) -> DataFrame:
     """(conv, at, role, text): the turns of each conversation by turn, numbered from 0."""
     w = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    rows = talks.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = talks.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.withColumn("at", F.row_number().over(w).cast("long") - 1).drop("turn")
 
 
@@ -131,7 +131,8 @@ def chat_digests(talks: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "nodes")
     rows = member.join(nodes.select("node", "segment", "loss_start", "loss_end"), "node").select("conv", "at", "segment", "loss_start", "loss_end")
     rows = rows.repartition(F.col("conv")).sortWithinPartitions("conv", "at")
-    return rows.mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = rows.mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.withColumn("conv_id", F.when(F.col("conv_id") != NO_ID, F.col("conv_id")))
 
 
 #: The same rows as op2 in DuckDB's SQL. The template adds 13 characters to a role and a text.
