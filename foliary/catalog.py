@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules in foliary.plans, each with QUERIES (name -> callable) and ORACLES (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("texts", "dates", "scores", "markup", "records")
+MODULES: tuple[str, ...] = ("texts", "dates", "scores", "markup", "records", "phrases")
 
 
 def queries() -> dict[str, Callable]:

@@ -35,6 +35,35 @@ ORDINALS = {1: "primer primero primera primeiro primeira first", 2: "segundo seg
 PERIODS = {3: "trimestre trimestres trimester quarter qtr q t", 6: "semestre semester half mitad metade s h", 4: "cuatrimestre cuadrimestre quadrimestre quadrimester", 2: "bimestre bimester"}
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+ROLE_WORDS = (
+    "abogado abogada accountant administrador administradora administrativo administrativa administrator analista analyst architect arquitecto arquitecta asesor asesora asistente assistant auxiliar becario becaria "
+    "cajero cajera ceo cfo chef cientifico cientifica cocinero cocinera contador contadora coo coordinador coordinadora coordinator consultant consultor cto desarrollador desarrolladora designer developer devops "
+    "director directora disenador disenadora docente editor editora ejecutivo ejecutiva enfermero enfermera engineer especialista founder cofounder co-founder fundador fundadora gerente head ingeniero ingeniera intern "
+    "investigador investigadora jefe jefa lawyer lead lider manager medico medica nurse operario operaria owner pasante practicante profesor profesora programador programadora programmer qa recepcionista redactor "
+    "redactora representante researcher responsable scientist specialist supervisor supervisora teacher technician tecnico tecnica tester vendedor vendedora writer"
+).split()
+ORG_WORDS = (
+    "agencia agency alcaldia asamblea ayuntamiento banco bank centro clinica clinic colegio college company compania congreso consultora consultorio cooperativa empresa escuela estudio foundation fundacion gobierno group "
+    "grupo hospital institute instituto intendencia laboratorio labs legislatura ministerio municipalidad mutual policlinico sanatorio school senado services servicios solutions soluciones technologies tecnologias "
+    "universidad universitat university"
+).split()
+NAME_CONNECTORS = "de del la las los el y e & of the and for".split()
+#: Initials that may be written with dots and spaces; those of the first list may go on with "de C.V.".
+LEGAL_INITIALS, LEGAL_INITIALS_ALONE, LEGAL_WORDS = "sa sapi sab sas sac srl".split(), "sl sc".split(), "ltda inc llc ltd gmbh corp spa plc".split()
+LEVEL_PHRASES = (
+    "native or bilingual proficiency", "full professional proficiency", "professional working proficiency", "limited working proficiency", "elementary proficiency", "idioma materno", "lengua materna", "lingua materna",
+    "lingua nativa", "mother tongue", "native speaker", "upper intermediate", "upper-intermediate", "pre-intermediate", "lectura tecnica", "muy bueno", "en curso",
+)
+LEVEL_WORDS = (
+    "conversational conversacional intermediario intermediate intermedio intermedia principiante elementary proficient bilingual bilingue avanzado avanzada avancado advanced elemental beginner materno materna nativo nativa "
+    "native fluent fluido fluida fluente basico basica basic nivel level profesional professional tecnico tecnica technical lectura comprension escritura escrito oral hablado reading writing speaking listening spoken written "
+    "medio media alto alta bajo baja bueno buena buen good excelente excellent dominio competente competent limited limitado working proficiency regular notions nociones escolar cursando"
+).split()
+LOW_VALUE_HEADINGS = (
+    "publicaciones", "publications", "congresos", "conferences", "ponencias", "comunicaciones", "proyectos de investigacion", "research projects", "comites", "committees", "revisiones", "reviews", "referencias", "references",
+    "intereses", "interests", "hobbies", "otros meritos", "meritos", "merits", "actividades academicas", "academic activities", "tribunales", "estancias", "research stays",
+)
+HEADING_PREFIXES = "otros otras mis principales other selected recent".split()
 
 
 def by_word(groups) -> dict[str, int]:

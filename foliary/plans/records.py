@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliary.functions import precision as P
 from foliary.functions.text import entity_tokens
 from foliary.operators import scoring as S
+from foliary.operators.model import complete
 from foliary.plans.registry import Book
 
 book = Book()
@@ -56,3 +57,13 @@ book.cases("entry_likeness", "ta string, pa string, tb string, pb string, r doub
     ("Acme", "ACME S.A.", "lead cook", "cook", 0.75), ("Acme", None, "lead cook", "Lead Cook", 1.0), ("Acme", None, "lead cook", "cook", 0.25), (None, None, "a b", None, 0.0), (None, None, "chef", "chef", 1.0), (None, None, None, None, 0.0),
 ], lambda ta, pa, tb, pb: S.entry_likeness([(entity_tokens(ta), entity_tokens(pa)), (entity_tokens(tb), entity_tokens(pb))]))
 book.cases("input_budget", "explicit bigint, context bigint, output bigint, r bigint", [(100, 9000, 1000, 100), (None, 9000, 1000, 6000), (None, None, 1000, 24000), (None, 1000, 1000, 1), (0, None, 1000, 1)], S.input_budget)
+
+
+def _stand_in():
+    """A model that answers with the input's length and is cut beyond 2,000 characters."""
+    return lambda text, max_output, penalty: (f'{{"n":{len(text)}}}', len(text) > 2000)
+
+
+@book.query("documents", sql="WITH s AS (SELECT doc_id, least(coalesce(length(text), 0), 2310)::BIGINT AS n FROM documents), o AS (SELECT *, CASE WHEN n <= 2000 THEN 'ok' WHEN ceil(n / 3.3::DOUBLE) >= 630 THEN 'less_input' ELSE 'failed' END AS outcome FROM s) SELECT doc_id, outcome, CASE outcome WHEN 'less_input' THEN 1386 ELSE n END::BIGINT AS sent_chars, CASE outcome WHEN 'failed' THEN NULL WHEN 'less_input' THEN '{\"n\":1386}' ELSE '{\"n\":' || n || '}' END AS answer FROM o")
+def model_stage(docs):
+    return complete(docs, _stand_in, budget=700)

@@ -63,3 +63,22 @@ def test_inbox(spark, tmp_path):
     seen = []
     watch(spark, str(inbox), lambda df, _: seen.extend(r.format for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert seen == ["text"]
+
+
+def test_ask():
+    from foliary.operators.model import ask
+
+    def model(*answers):
+        asked = []
+        rest = iter(answers)
+        return asked, lambda text, most, penalty: (asked.append((len(text), penalty)), next(rest))[1]
+
+    asked, m = model(("x", False))
+    assert ask(m, "a" * 50, 100, 10) == ("x", "ok", 50) and asked == [(50, None)]
+    asked, m = model(("x", True), ("y", False))
+    assert ask(m, "a" * 1000, 100, 10) == ("y", "less_input", 198) and asked == [(330, None), (198, None)]
+    asked, m = model(("ab" * 400, True), ("y", False))
+    assert ask(m, "a", 100, 10) == ("y", "penalty", 1) and asked[1] == (1, 0.3)
+    assert ask(model(("x", True))[1], "", 100, 10) == (None, "failed", 0)
+    asked, m = model(("x", True), ('{"a":[1,2', True))
+    assert ask(m, "a" * 1000, 100, 10)[1] == "salvaged"
