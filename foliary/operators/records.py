@@ -141,28 +141,24 @@ def assign_entries(pairs: DataFrame) -> DataFrame:
 
 
 def repair_json(text: str) -> str | None:
-    """ARR3: a cut object closed after its last complete value, or null if nothing complete is left."""
+    """ARR3: the first object of a text; one that is cut ends after the last complete list or object inside it. Null if nothing is left."""
     import json
-
-    stack, quoted, i, cuts = [], False, 0, []
-    while i < len(text):
-        c = text[i]
-        if quoted:
-            i += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack:
-            stack.pop()
-            cuts.append((i + 1, "".join(reversed(stack))))
-        elif c == ",":
-            cuts.append((i, "".join(reversed(stack))))
-        i += 1
-    for at, close in [(len(text), "".join(reversed(stack))), *reversed(cuts[-50:])]:
+    import re
+
+    text, opened, cuts = text[max(text.find("{"), 0) :], [], []
+    for m in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}\[\]]', text, re.DOTALL):
+        if m[0] in "{[":
+            opened.append("}" if m[0] == "{" else "]")
+        elif m[0] in "}]":
+            if not opened or opened.pop() != m[0]:
+                return None
+            cuts.append(text[: m.end()] + "".join(reversed(opened)))
+            if not opened:
+                cuts = cuts[-1:]
+                break
+    for cut in reversed(cuts[-50:]):
         try:
-            out = json.loads(text[:at] + close)
+            out = json.loads(cut)
         except ValueError:
             continue
         return json.dumps(out, ensure_ascii=False, separators=(",", ":")) if isinstance(out, dict) else None

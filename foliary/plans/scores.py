@@ -129,12 +129,12 @@ def json_canonical(events):
     return events.select("event_id", R.canonical_json("props").alias("canonical"))
 
 
-@book.query("events")
+@book.query("events", sql="SELECT event_id, '{\"list\":[' || json(props) || ']}' AS repaired FROM events")
 def json_repair(events):
-    return events.select("event_id", R.repaired_json(F.expr("left(props, length(props) - 2)")).alias("repaired"))
+    return events.select("event_id", R.repaired_json(F.expr("""concat('{"list":[', props, ',', left(props, length(props) - 2))""")).alias("repaired"))
 
 
-book.cases("json_cut", "a string, r string", [('{"a":[1,2,{"b":3},{"c', '{"a":[1,2,{"b":3}]}'), ('{"a":1}', '{"a":1}'), ('{"a":"x', None), ("[1,2", None), ('{"a":1,"b":[', '{"a":1,"b":[]}')], R.repaired_json)
+book.cases("json_cut", "a string, r string", [('{"a":[1,2,{"b":3},{"c', '{"a":[1,2,{"b":3}]}'), ('{"a":1}', '{"a":1}'), ('{"a":"x', None), ("[1,2", None), ('{"a":1,"b":[', None), ('so: {"a":{"x":"]}"},"b":2', '{"a":{"x":"]}"}}'), ('{"a":[1}', None), ('{"a":[{}]} {"b"', '{"a":[{}]}')], R.repaired_json)
 
 
 @book.query("documents", "benchmark")

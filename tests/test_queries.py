@@ -80,5 +80,5 @@ def test_ask():
     asked, m = model(("ab" * 400, True), ("y", False))
     assert ask(m, "a", 100, 10) == ("y", "penalty", 1) and asked[1] == (1, 0.3)
     assert ask(model(("x", True))[1], "", 100, 10) == (None, "failed", 0)
-    asked, m = model(("x", True), ('{"a":[1,2', True))
+    asked, m = model(("x", True), ('{"a":[{"b":1},2', True))
     assert ask(m, "a" * 1000, 100, 10)[1] == "salvaged"
