@@ -205,7 +205,7 @@ class Evidence:
             keys, bounds, _ = opened(x)
             if keys or bounds or unknown and 1 <= len(_lead.sub("", self.lines[i]).strip()) <= 60 and heading_line(x):
                 found.append((keys[0] if keys else "other", _tail.sub("", _lead.sub("", x.strip())), i))
-        ends = [*(f[2] for f in found[1:]), len(self.raw)]
+        ends = [*(f[2] for f in found[1:]), len(self.raw)][: len(found)]
         return [Span(*f, end) for f, end in zip(found, ends, strict=True)]
 
     def headed(self) -> list[str]:

@@ -13,7 +13,7 @@ import regex
 from foliary.functions import dates
 from foliary.functions.classify import LEGAL
 from foliary.functions.degrees import find_degree
-from foliary.functions.lexicon import LEVEL_PHRASES, LEVEL_WORDS, NAME_CONNECTORS, ORG_WORDS, ROLE_WORDS
+from foliary.functions.lexicon import HEADING_PREFIXES, LEVEL_PHRASES, LEVEL_WORDS, LOW_VALUE_HEADINGS, NAME_CONNECTORS, ORG_WORDS, ROLE_WORDS
 from foliary.functions.text import _fold
 
 # Fixed values that must equal the reference's for right results.
@@ -100,6 +100,16 @@ def title_like(name: str, headline: str | None) -> bool:
     return job_title(name) or bool(headline) and not organization(name) and has_term(fold(name), fold(headline))
 
 
+_low = regex.compile(rf"(?:(?:{'|'.join(HEADING_PREFIXES)})\s+)?(?:{'|'.join(sorted(LOW_VALUE_HEADINGS, key=len, reverse=True))})(?:\s+\p{{L}}+){{0,3}}")
+
+
+def low_value(heading: str) -> bool:
+    """CLS12."""
+    line = regex.sub(r"^(?:\d+(?:\.\d+)*|[ivx]+)[.)]?\s+", "", regex.sub(r"^[^\p{L}\p{N}]+", "", fold(heading)))
+    line = regex.sub(r"[\s:.\-–—|]+$", "", line)
+    return 1 <= len(line) <= 60 and bool(_low.fullmatch(line))
+
+
 def language_level(text: str) -> bool:
     """CLS9."""
     line = regex.sub(r"[()\[\].,;:/\\|-]+", " ", fold(text)).strip()

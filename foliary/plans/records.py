@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliary.functions import precision as P
 from foliary.functions.text import entity_tokens
 from foliary.operators import scoring as S
-from foliary.operators.model import complete
+from foliary.operators.model import complete, context_warning, failure, head, input_fit, prompt
 from foliary.plans.registry import Book
 
 book = Book()
@@ -66,4 +66,36 @@ def _stand_in():
 
 @book.query("documents", sql="WITH s AS (SELECT doc_id, least(coalesce(length(text), 0), 2310)::BIGINT AS n FROM documents), o AS (SELECT *, CASE WHEN n <= 2000 THEN 'ok' WHEN ceil(n / 3.3::DOUBLE) >= 630 THEN 'less_input' ELSE 'failed' END AS outcome FROM s) SELECT doc_id, outcome, CASE outcome WHEN 'less_input' THEN 1386 ELSE n END::BIGINT AS sent_chars, CASE outcome WHEN 'failed' THEN NULL WHEN 'less_input' THEN '{\"n\":1386}' ELSE '{\"n\":' || n || '}' END AS answer FROM o")
 def model_stage(docs):
-    return complete(docs, _stand_in, budget=700)
+    return complete(docs, _stand_in, budget=700, fit=head)
+
+
+LONG = "Ana\nExperiencia\nCook at Acme\nPublicaciones\n" + "p" * 40 + "\nOTROS CONGRESOS\n" + "q" * 60 + "\nIdiomas\nInglés"
+
+book.cases("input_sections", "t string, b bigint, r string", [
+    (LONG, 100, LONG.replace("\n", "/") + " - false"), (LONG, 40, "Ana/Experiencia/Cook at Acme/Publicaciones/" + "p" * 40 + "/Idiomas/Inglés - OTROS CONGRESOS false"),
+    (LONG, 20, "Ana/Experiencia/Cook at Acme/Idiomas/Inglés - Publicaciones,OTROS CONGRESOS false"), (LONG, 8, "Ana/Experiencia - Publicaciones,OTROS CONGRESOS true"), ("x" * 50, 10, "x" * 33 + " - true"), ("", 1, " - false"), (None, 1, " - false"),
+], lambda t, b: _fits(t, b))
+
+
+def _fits(t, b):
+    out = None
+    for budget in (100, 40, 20, 8, 10, 1):
+        fit = input_fit(t, budget)
+        told = F.concat(F.translate(fit["text"], "\n", "/"), F.lit(" - "), F.array_join(fit["dropped"], ","), F.when(F.size(fit["dropped"]) > 0, " ").otherwise(""), fit["tail_cut"].cast("string"))
+        out = F.when(b == budget, told) if out is None else out.when(b == budget, told)
+    return out
+
+
+book.cases("model_failures", "kind string, message string, status bigint, attempts bigint, cut boolean, r string", [
+    ("api", "refused", None, 1, False, "PROVIDER_ERROR: the call failed: refused"), ("api", "limit", 429, 3, False, "PROVIDER_ERROR: the call failed (HTTP 429): limit (after 3 attempts)"), ("no_object", "x", None, 1, True, "NO_OBJECT_GENERATED: the answer was cut at the output limit"),
+    ("no_object", "x", None, 1, False, "NO_OBJECT_GENERATED: no valid record: x"), ("unparsed", "x", None, 1, False, "NO_OBJECT_GENERATED: the answer is no record: x"), ("aborted", "x", None, 1, False, "PROVIDER_ERROR: the call was aborted"),
+    (None, "boom", None, 1, False, "PROVIDER_ERROR: extraction failed: boom"),
+], lambda k, m, s, a, c: F.concat_ws(": ", failure(k, m, s, a, c)["code"], failure(k, m, s, a, c)["message"]))
+book.cases("context_warnings", "n bigint, c bigint, r string", [(90, 100, "90 of 100 tokens of the context are taken by the input; the answer may be cut"), (89, 100, None), (1, None, None)], context_warning)
+
+
+@book.query("documents", sql="SELECT doc_id, length(coalesce(replace(text, '</document>', '< /document>'), ''))::BIGINT AS inside, true AS fenced FROM documents")
+def prompts(docs):
+    made = docs.select("doc_id", prompt(F.col("text"), F.col("lang"), "2026-01-15").alias("p"))
+    body = F.regexp_extract("p", r"(?s)\n<document>\n(.*)\n</document>$", 1)
+    return made.select("doc_id", F.length(body).cast("long").alias("inside"), (F.regexp_count("p", F.lit("</document>")) == 1).alias("fenced"))
