@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from foliary.functions import free_text as T
 from foliary.functions import headings as H
 from foliary.functions.degrees import degree_level
 from foliary.operators import reading_order as O
@@ -148,3 +149,14 @@ def _score_records(spark, sf_dir):
 
 QUERIES["score_records"] = _score_records
 ORACLES["score_records"] = "SELECT d::BIGINT AS doc_id, f AS field, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn FROM (VALUES " + ", ".join(f"({i}, '{f}', {', '.join(map(str, c))})" for i, x in enumerate(SCORED) for f, c in x[2].items()) + ") v(d, f, tp, fp, fn)"
+
+book.cases("free_text_skills", "t string, r string", [
+    ("Lenguajes: TypeScript, Go; go\n• SQL • CI/CD.| A / B. | C", "TypeScript|Go|SQL|CI/CD|A|B.|C"), ("x" * 61 + ", y - z", "y|z"), ("", ""), (None, ""),
+], lambda t: F.array_join(T.skills_of_text(t), "|"))
+book.cases("free_text_languages", "t string, r string", [
+    ("Inglés: avanzado\nFrancés (B1), Alemán - A2; Ruso", "Inglés=avanzado|Francés=B1|Alemán=A2|Ruso"), ("{end}", ""), (None, ""),
+], lambda t: F.array_join(F.transform(T.languages_of_text(t), lambda x: F.concat_ws("=", x["language"], x["fluency"])), "|"))
+book.cases("free_text_places", "t string, r string", [("Córdoba, Argentina", "Córdoba"), ("Rosario, Santa Fe, Argentina", "Rosario/Santa Fe"), (" , ", ""), (None, "")], lambda t: F.concat_ws("/", T.location_of_text(t)["city"], T.location_of_text(t)["region"]))
+book.cases("free_text_rows", "t string, r string", [(" a\tb \r\n\n c", "ab\nc\n{end}"), (None, "{end}")], T.marked_rows)
+book.cases("free_text_dates", "t string, r string", [("2019 – 2021", "2019/2021"), ("Jun 2022 - Present", "2022-06/-"), ("marzo 2020", "2020-03/-"), ("present", "-/-"), ("", "-/-"), (None, "-/-")], lambda t: F.concat_ws("/", *[F.coalesce(T.dates_of_text(t, TODAY)[k], F.lit("-")) for k in ("start", "end")]))
+book.cases("free_text_end_dates", "t string, r string", [("2021", "-/2021"), ("2019-2021", "2019/2021")], lambda t: F.concat_ws("/", *[F.coalesce(T.dates_of_text(t, TODAY, "end")[k], F.lit("-")) for k in ("start", "end")]))
