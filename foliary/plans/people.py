@@ -53,6 +53,14 @@ def section_spans(talks):
     return X.section_spans(docs)
 
 
+@book.query("conversations")
+def section_spans_whole(talks):
+    """Spans of every turn's whole text, between two headings for turns that have none. section_spans has the one-line turns alone, which its SQL can express."""
+    turn = F.struct("conv_id", "turn").alias("doc_id")
+    docs = talks.select(turn, F.concat_ws("\n", F.lit("Education"), F.coalesce("text", F.lit("")), F.lit("Perfil")).alias("text"))
+    return X.section_spans(docs).select("doc_id.*", "section", "heading", "start", "end")
+
+
 @book.query("documents", "labels", sql="SELECT doc_id, 'projects' AS section FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def coverage(docs, labels):
     """Every document under a heading (they have none of their own); the labelled ones have their projects."""
