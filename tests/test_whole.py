@@ -1,5 +1,7 @@
 """Queries without SQL over whole rows, against brute force."""
 
+import zlib
+
 from foliary import catalog
 
 
@@ -18,3 +20,11 @@ def test_section_spans_whole(spark, tmp_path):
         want += [(conv, turn, known[lines[a]], lines[a], a, b) for a, b in zip(at, [*at[1:], len(lines)], strict=True)]
     got = run(spark, tmp_path, "section_spans_whole", "conversations", talks, "conv_id long, turn long, text string")
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_model_stage_whole(spark, tmp_path):
+    kept, low = "Ana\nExperiencia\n" + "cook at Acme\n" * 3_000, "Publicaciones\n" + "p" * 50_000 + "\n"
+    plain = "word " * 20_000  # over the budget of 79,200 characters, without sections
+    cases = [("", ""), (None, ""), ("short", "short"), ("é" * 5_000 + " end", "é" * 5_000 + " end"), ("x" * 79_200, "x" * 79_200), (kept + low + "Idiomas\nInglés", kept + "Idiomas\nInglés"), (plain, plain[:79_200].rstrip())]
+    got = run(spark, tmp_path, "model_stage_whole", "documents", [(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: (r.answer, r.outcome, r.sent_chars) for r in got} == {i: (f'{{"n":{len(t)},"crc":{zlib.crc32(t.encode())}}}', "ok", len(t)) for i, (_, t) in enumerate(cases)}
