@@ -25,8 +25,10 @@ LIMIT = 38.26
 #: Shares are taken as if a text had so many typical characters, words or lines more: a few marks in a short text
 #: say little.
 MORE_CHARS, MORE_WORDS, MORE_LINES, USUAL_LEN, USUAL_OTHER = 50, 20, 5, 5.0, 0.04
-#: Groups with fewer rows are judged with their language's other small groups, or else with all small ones.
-MIN_GROUP = 100
+#: Rows that the wider group's estimate counts as in a group's own: with n rows, a group's own has the weight n / (n + PRIOR).
+PRIOR = 100
+#: A group's sums, and those of the next wider groups as "up_" and "top_".
+MOMENTS = ("n", "sums", "products")
 
 _symbol = np.zeros(256, bool)
 _symbol[list(b"#*$%&|<>")] = True
@@ -68,18 +70,27 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, n) for c in ("doc_id", "lang", "source")], *[pa.array(c.astype(np.int64)) for c in cols]], ["doc_id", "lang", "source", *COUNTS])
 
 
+def moments(n: float, sums: list[float], products: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of n rows."""
+    mean = np.asarray(sums) / n
+    cov = np.zeros((P, P))
+    cov[np.triu_indices(P)] = np.asarray(products) / n
+    return mean, np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
+
+
 def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mean and inverse covariance of each group from its sums."""
+    """Mean and inverse covariance of each group, drawn to its wider groups' by PRIOR, from the sums of all."""
     for batch in batches:
-        rows = batch.to_pandas()
         out: list[tuple] = []
-        for r in rows.itertuples(index=False):
-            mean = np.asarray(r.sums) / r.n
-            cov = np.zeros((P, P))
-            cov[np.triu_indices(P)] = np.asarray(r.products) / r.n
-            cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
-            cov = cov * SCALE + np.diag(np.square(FLOORS))
-            out.append((r.g, mean, np.linalg.inv(cov)[np.triu_indices(P)]))
+        for r in batch.to_pylist():
+            mean, cov = None, None
+            for wide in ("top_", "up_", ""):
+                if (n := r[f"{wide}n"]) is None:
+                    continue
+                own = moments(*[r[wide + c] for c in MOMENTS])
+                w = n / (n + PRIOR) if mean is not None else 1.0
+                mean, cov = (own[0], own[1]) if mean is None else (w * own[0] + (1 - w) * mean, w * own[1] + (1 - w) * cov)
+            out.append((r["g"], mean, np.linalg.inv(cov * SCALE + np.diag(np.square(FLOORS)))[np.triu_indices(P)]))
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(list(cols[1]), pa.list_(pa.float64())), pa.array(list(cols[2]), pa.list_(pa.float64()))], ["g", "mean", "inverse"])
 
@@ -102,42 +113,48 @@ def transformed(rows: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """g: language and source, or a wider group where that has few rows; null where even the widest has."""
+    """groups: (g, up) of language and source, of the language and of the whole corpus, each with the next wider one."""
     name = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    cells = materialize(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "cells")
-    lone = F.col("n") < MIN_GROUP
-    by_lang = F.sum(F.when(lone, F.col("n")).otherwise(0)).over(Window.partitionBy("lang"))
-    cells = cells.withColumn("few", by_lang)
-    widest = cells.where(lone & (F.col("few") < MIN_GROUP)).agg(F.sum("n")).first()[0] or 0
-    g = F.when(~lone, name("lang", "source")).when(F.col("few") >= MIN_GROUP, name("lang")).when(F.lit(widest >= MIN_GROUP), F.lit("{}"))
-    cells = cells.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), g.alias("g"))
-    on = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
-    return rows.join(small(cells, cells.count()), on, "left").drop("_l", "_s")
+    wider = [name("lang", "source"), name("lang"), F.lit("{}"), F.lit(None).cast("string")]
+    return rows.withColumn("groups", F.array(*[F.struct(g.alias("g"), up.alias("up")) for g, up in zip(wider, wider[1:], strict=False)]))
+
+
+def fitted(sums: DataFrame) -> tuple[DataFrame, int]:
+    """(g, mean, inverse) of each group by its own and its wider groups' MOMENTS, and the number of groups."""
+    sums = materialize(sums, "sums")
+    wider = sums.join(sums.select(F.col("up").alias("g")).distinct(), "g", "left_semi")
+    n, n_wider = sums.count(), wider.count()
+    for prefix, up in (("up_", "up"), ("top_", "up_up")):
+        as_wider = wider.select(F.col("g").alias(f"{prefix}g"), F.col("up").alias(f"{prefix}up"), *[F.col(c).alias(prefix + c) for c in MOMENTS])
+        sums = sums.join(small(as_wider, n_wider), F.col(up) == F.col(f"{prefix}g"), "left")
+    sums = sums.select("g", *[prefix + c for prefix in ("", "up_", "top_") for c in MOMENTS])
+    return materialize(sums.mapInArrow(invert, "g string, mean array<double>, inverse array<double>"), "fits"), n
 
 
 def covariances(rows: DataFrame) -> DataFrame:
     """(g, mean, inverse): the minimum-covariance-determinant estimate of each group, over all its rows.
 
-    It starts at medians and quartile ranges; each concentration step keeps the SUBSET of a group's rows that are the
-    nearest and fits them anew, which never enlarges the determinant. The cut comes from counts of distances in fine
-    logarithmic bins, so no group is sorted or gathered. Every step is sums by group, joined back to the rows.
+    Each language and source has an estimate of its own, drawn to the language's, and that to the whole corpus', by as
+    much as it has few rows (PRIOR): it changes smoothly as a group grows. It starts at medians and quartile ranges;
+    each concentration step keeps the SUBSET of a group's rows that are the nearest and fits them anew. The cut comes
+    from counts of distances in fine logarithmic bins, so no group is sorted or gathered. Every step is sums by group,
+    joined back to the rows.
     """
-    rows = rows.where("g is not null")
-    start = rows.groupBy("g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in DIMS])
-    spread = [F.pow((F.col(x)[2] - F.col(x)[0]) / 1.349, 2) + f * f for x, f in zip(DIMS, FLOORS, strict=True)]
-    inverse = [F.lit(1.0) / spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(i, P)]
-    fits = materialize(start.select("g", F.array(*[F.col(x)[1] for x in DIMS]).alias("mean"), F.array(*inverse).alias("inverse")), "fits")
-    n_groups = fits.count()
+    rows = rows.select(F.explode("groups").alias("_"), *DIMS).select("_.g", "_.up", *DIMS)
+    start = rows.groupBy("g", "up").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in DIMS])
+    spread = [F.pow((F.col(x)[2] - F.col(x)[0]) / 1.349, 2) / SCALE for x in DIMS]
+    products = [F.col("n") * (F.col(DIMS[i])[1] * F.col(DIMS[j])[1] + (spread[i] if i == j else 0.0)) for i in range(P) for j in range(i, P)]
+    fits, n_groups = fitted(start.select("g", "up", "n", F.array(*[F.col("n") * F.col(x)[1] for x in DIMS]).alias("sums"), F.array(*products).alias("products")))
     for _ in range(C_STEPS):
-        near = rows.join(small(fits, n_groups), "g").select("g", *DIMS, F.floor(F.log(distance() + 1e-6) * 256).cast("long").alias("bin"))
+        near = rows.join(small(fits, n_groups), "g").select("g", "up", *DIMS, F.floor(F.log(distance() + 1e-6) * 256).cast("long").alias("bin"))
         bins = near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy("g")
         bins = bins.select("g", "bin", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("all"))
         cut = bins.where(F.col("upto") >= SUBSET * F.col("all")).groupBy("g").agg(F.min("bin").alias("cut"))
         kept = near.join(small(cut, n_groups), "g").where("bin <= cut")
         products = [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])) for i in range(P) for j in range(i, P)]
-        sums = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x) for x in DIMS]).alias("sums"), F.array(*products).alias("products"))
-        fits = materialize(sums.mapInArrow(invert, "g string, mean array<double>, inverse array<double>"), "fits")
+        sums = kept.groupBy("g", "up").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x) for x in DIMS]).alias("sums"), F.array(*products).alias("products"))
+        fits, _n = fitted(sums)
     return fits
 
 
@@ -145,9 +162,9 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) for each row.
 
     kept: the base rules hold and the row's transformed statistics lie within LIMIT of its group's robust centre.
-    A null text has no words and so fails; null languages or sources make groups of their own; rows whose widest group
-    has under MIN_GROUP rows, or fail the base rules, get no distance. Equal rows get equal verdicts. No rows give no
-    rows; other columns are ignored.
+    A null text has no words and so fails; null languages or sources make groups of their own; every row that holds the
+    base rules gets a distance, the others none. Equal rows get equal verdicts. No rows give no rows; other columns are
+    ignored.
     """
     rows = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -156,8 +173,8 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     rows = materialize(rows.withColumn("base_failed", failed), "counts")
     good = materialize(grouped(transformed(rows.where("not base_failed"))), "vectors")
     fits = covariances(good)
-    far = good.join(small(fits, fits.count()), "g", "left").withColumn("distance", distance())
+    far = good.withColumn("g", F.col("groups")[0]["g"]).join(small(fits, fits.count()), "g").withColumn("distance", distance())
     plain = ("doc_id", *COUNTS[:5], "base_failed")
-    far = far.select(*plain, F.coalesce(F.col("distance") <= LIMIT, F.lit(True)).alias("kept"), "distance", "lang", "source")
+    far = far.select(*plain, (F.col("distance") <= LIMIT).alias("kept"), "distance", "lang", "source")
     bad = rows.where("base_failed").select(*plain, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "lang", "source")
     return far.unionByName(bad)

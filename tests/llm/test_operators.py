@@ -163,6 +163,20 @@ def test_quality(spark, docs):
     assert all(kept.values())
 
 
+def test_quality_of_small_groups(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    plain = lambda i, n: " ".join(f"word{(i * 31 + j) % 977}" for j in range(n + i % 50))
+    junk = " ".join(f"#{j}$%&|<>" for j in range(40))
+    few = [(i, plain(i, 100), f"l{i % 3}", f"s{i % 4}") for i in range(40)]
+    for rows in (few, few + [(i + 100, plain(i, 100), "l0", "big") for i in range(150)]):
+        got = {r.doc_id: r for r in judge_documents(spark.createDataFrame([*rows, (1000, junk, "l0", "s0"), (1001, junk, "new", None)], schema)).collect()}
+        assert {i for i, r in got.items() if not r.kept} == {1000, 1001}
+        assert all(r.distance is not None for r in got.values())
+    others = [(i + 1000, plain(i, 100), "l0", "s0") for i in range(300)]
+    far = [next(r.distance for r in judge_documents(spark.createDataFrame(others + [(i, plain(i, 600), "l0", "s1") for i in range(n)], schema)).collect() if r.doc_id == 0) for n in (97, 103)]
+    assert far[1] == pytest.approx(far[0], rel=0.15)
+
+
 def test_fingerprints(docs):
     items = sorted(texts(docs), key=lambda x: (x[0] is not None, x[0] or 0))
     got = edited_likeness(docs).collect()
