@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,11 @@ LETTER = r"[\x{0E00}-\x{0EFF}\x{1100}-\x{11FF}\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}
 SHORT = 64
 #: Letters of a k-mer and of its inner substrings.
 K, S = 5, 2
-#: Anchors a fingerprint keeps: those with the least hashes.
-SKETCH = 128
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once."""
+    return F.transform(F.array(x), f)[0]
 
 
 def letters(text: Column, n_chars: Column) -> Column:
@@ -28,7 +33,6 @@ def syncmers(text: Column, n_chars: Column) -> Column:
     depends on the k-mer alone, so a k-mer that two texts share is an anchor in both or in neither. A text of 1 to
     K-1 letters has itself as its anchor.
     """
-    let = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  evaluates x once
     m = K - S  # the last substring starts so much after the first
 
     def of_hashes(h: Column) -> Column:
@@ -45,20 +49,33 @@ def syncmers(text: Column, n_chars: Column) -> Column:
     return let(F.transform(letters(text, n_chars), lambda x: F.xxhash64(x)), of_hashes)
 
 
-def sketch(anchors: Column) -> Column:
-    """The least SKETCH distinct hashes of the anchors, in order."""
-    return F.slice(F.sort_array(F.array_distinct(anchors["h"])), 1, SKETCH)
+def written(anchors: Column) -> Column:
+    """All anchors in order, as position:hash."""
+    return F.array_join(F.transform(anchors, lambda x: F.concat_ws(":", x["at"], x["h"])), " ")
+
 
+def links(anchors: Column) -> Column:
+    """Each anchor with the distance to the next one and that one's hash, as a hash of them and of how many equal ones come before."""
 
-def written(s: Column) -> Column:
-    return F.array_join(s.cast("array<string>"), " ")
+    def ranked(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        end = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(s)) - 1
+        every = let(starts, lambda at: F.flatten(F.transform(at, lambda b, j: F.transform(F.sequence(b, end(at, j)), lambda i: F.xxhash64(F.get(s, b), i - b)))))
+        return F.when(F.size(s) > 0, every).otherwise(F.array().cast("array<bigint>"))
+
+    def linked(a: Column) -> Column:
+        return F.sort_array(F.transform(a, lambda x, i: F.xxhash64(x["h"], F.get(a, i + 1)["at"] - x["at"], F.get(a, i + 1)["h"])))
+
+    return let(let(anchors, linked), ranked)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice's coefficient of the anchor sets, estimated from the least hashes of the union; 1 for two empty ones."""
-    u = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    j = F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.greatest(F.size(u), F.lit(1))
-    return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(2 * j / (1 + j)).cast("double")
+    """Dice's coefficient of all links, each as often as it occurs; 1 for two texts without any.
+
+    A link is matched where both anchors recur at the same distance, so a passage is found wherever it stands.
+    """
+    n = F.size(a) + F.size(b)
+    return F.when(n == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / n).cast("double")
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -93,18 +110,21 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     repeated = near.where("copies > 1")
     has_copies = bool(repeated.head(1))
     texts = rows.dropDuplicates(["id", "tie"]) if has_copies else rows
-    texts = texts.select("id", "tie", "text", sketch(syncmers(F.col("text"), F.col("n"))).alias("own"))
+    texts = texts.select("id", "tie", "text")
     quarter = F.floor(F.col("n") / 4).cast("int")
     steps = near.select("id", "tie", "n", "next_id", "next_tie", F.lit(1).cast("long").alias("times"))
     if has_copies:
         steps = steps.unionByName(repeated.select("id", "tie", "n", F.col("id").alias("next_id"), F.col("tie").alias("next_tie"), (F.col("copies") - 1).alias("times")))
     same = lambda a, b: F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
     asked = steps.select(F.col("id").alias("i"), F.col("tie").alias("t"), "n", "next_id", "next_tie", "times")
-    heads = texts.join(asked, same(("id", "tie"), ("next_id", "next_tie"))).select("i", "t", "n", "times", F.substring("text", F.lit(1), quarter).alias("head"), F.col("own").alias("next_own"))
+    heads = texts.join(asked, same(("id", "tie"), ("next_id", "next_tie"))).select("i", "t", "n", "times", F.col("text").alias("next_text"))
     both = texts.join(heads, same(("id", "tie"), ("i", "t")))
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - quarter).cast("int")), F.col("head"))
-    both = both.select("id", "n", "times", "own", "next_own", edited.alias("edited"))
-    both = both.select("id", "n", "times", "own", "next_own", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(syncmers(F.col("edited"), F.length("edited"))).alias("new"))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - quarter).cast("int")), F.substring("next_text", F.lit(1), quarter))
+    both = both.select("id", "n", "times", "text", "next_text", edited.alias("edited"))
+    anchors = lambda c: syncmers(F.col(c), F.length(c))
+    both = both.select("id", "n", "times", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors("text").alias("own"), anchors("edited").alias("new"), anchors("next_text").alias("next_own"))
+    both = both.select("id", "n", "times", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("new")).alias("edited_fingerprint"), *[links(F.col(c)).alias(c) for c in ("own", "new", "next_own")])
+    both = both.select("id", "n", "times", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
     if has_copies:
         both = both.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return both.select(F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("new")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+    return both.select(F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

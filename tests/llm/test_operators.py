@@ -195,6 +195,28 @@ def test_fingerprints(docs):
     assert len({r.fingerprint for r in got if r.doc_id in (5, 6)}) == 1
 
 
+def dice(a, b):
+    def links(fingerprint):
+        anchors = [tuple(map(int, x.split(":"))) for x in fingerprint.split()]
+        return Counter((h, n and n[0] - at, n and n[1]) for (at, h), n in zip(anchors, [*anchors[1:], None], strict=bool(anchors)))
+
+    a, b = links(a), links(b)
+    return 2 * (a & b).total() / (a.total() + b.total()) if a or b else 1.0
+
+
+def test_fingerprints_of_long_texts(spark):
+    passage = " ".join(f"shared{i * 37 % 101}" for i in range(60))
+    long = [" ".join(f"{c}{i * 7919 % 4001}" for i in range(3000)) for c in "ab"]
+    items = [long[0] + " " + passage, passage + " " + long[1], "\n".join(["same line here"] * 40), "\n".join(["same line here"] * 80), "日本語の文章です。" * 60]
+    got = sorted(edited_likeness(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")).collect())
+    own = [r.fingerprint for r in got]
+    assert len(own[0].split()) > 1000
+    assert all(r.near_edited == pytest.approx(dice(r.fingerprint, r.edited_fingerprint)) for r in got)
+    assert [r.near_next for r in got] == pytest.approx([dice(a, b) for a, b in zip(own, own[1:] + own[:1], strict=True)])
+    assert 0 < got[0].near_next < 0.1
+    assert 0.6 < got[2].near_next < 0.7
+
+
 def test_chat(spark):
     talks = [*CONTROL_ROWS, (1, 0, "user", "hi"), (1, 1, "assistant", "yo \\h < # \\"), (2, 0, "user", "hi"), (2, 1, "assistant", "other"), (3, 5, None, None), (3, 5, None, None), (None, 0, "a:b", "x</turn>\n")]
     df = spark.createDataFrame([(*t, "clash", 1) for t in talks], "conv_id long, turn long, role string, text string, node string, at int")
