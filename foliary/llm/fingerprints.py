@@ -11,8 +11,6 @@ from foliary.llm.scratch import materialize
 
 #: Letters of a text: single characters of scripts without spaces, and runs of up to 6 other ones between spaces.
 LETTER = r"[\x{0E00}-\x{0EFF}\x{1100}-\x{11FF}\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]|[^\s\x{0E00}-\x{0EFF}\x{1100}-\x{11FF}\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]{1,6}"
-#: Texts of fewer characters have single characters as letters.
-SHORT = 64
 #: Letters of a k-mer and of its inner substrings.
 K, S = 5, 2
 
@@ -22,16 +20,12 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), f)[0]
 
 
-def letters(text: Column, n_chars: Column) -> Column:
-    return F.when(n_chars < SHORT, F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(LETTER), F.lit(0)))
-
-
-def syncmers(text: Column, n_chars: Column) -> Column:
-    """The text's anchors, as an array of (position in letters, hash of the k-mer).
+def syncmers(text: Column) -> Column:
+    """The text's anchors, as an array of (position of the k-mer's last letter, hash of the k-mer).
 
     A k-mer is a closed syncmer if the least hash of its substrings of S letters is the first or the last one's. It
-    depends on the k-mer alone, so a k-mer that two texts share is an anchor in both or in neither. A text of 1 to
-    K-1 letters has itself as its anchor.
+    depends on the k-mer alone, so a k-mer that two texts share is an anchor in both or in neither. K-1 blank letters
+    stand before a text, so that one of few letters has k-mers too; the first k-mer, all blanks but one, is an anchor.
     """
     m = K - S  # the last substring starts so much after the first
 
@@ -43,10 +37,10 @@ def syncmers(text: Column, n_chars: Column) -> Column:
             at = F.filter(F.sequence(F.lit(0), F.size(g) - m - 1), lambda i: (least(i) == F.get(g, i)) | (least(i) == F.get(g, i + m)))
             return F.transform(at, lambda i: F.struct(i.alias("at"), F.hash(F.get(g, i), F.get(g, i + 2), F.get(h, i + 4)).alias("h")))
 
-        whole = F.transform(F.slice(h, 1, F.least(F.size(h), F.lit(1))), lambda _: F.struct(F.lit(0).alias("at"), F.hash(h).alias("h")))
-        return F.when(F.size(h) < K, whole).otherwise(let(inner, of_inner))
+        return F.when(F.size(h) < K, F.array().cast("array<struct<at:int,h:int>>")).otherwise(let(inner, of_inner))
 
-    return let(F.transform(letters(text, n_chars), lambda x: F.xxhash64(x)), of_hashes)
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(LETTER), F.lit(0)), lambda x: F.xxhash64(x))
+    return let(F.concat(F.array_repeat(F.lit(0).cast("long"), K - 1), hashes), of_hashes)
 
 
 def written(anchors: Column) -> Column:
@@ -101,8 +95,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     The last quarter of a text's characters is replaced by as many from the beginning of the next document's, in
     ascending order of doc_id, null first, then of a hash of the text; the last one's next is the first. Of equal rows
-    each but the last has the same text next. A null text is empty; an empty text has an empty fingerprint, alike to
-    itself alone. No rows give no rows; other columns are ignored.
+    each but the last has the same text next. A null text is empty; a text without letters has an empty fingerprint, alike
+    to such texts alone. No rows give no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).withColumn("n", F.length("text").cast("long"))
@@ -121,7 +115,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     both = texts.join(heads, same(("id", "tie"), ("i", "t")))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - quarter).cast("int")), F.substring("next_text", F.lit(1), quarter))
     both = both.select("id", "n", "times", "text", "next_text", edited.alias("edited"))
-    anchors = lambda c: syncmers(F.col(c), F.length(c))
+    anchors = lambda c: syncmers(F.col(c))
     both = both.select("id", "n", "times", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors("text").alias("own"), anchors("edited").alias("new"), anchors("next_text").alias("next_own"))
     both = both.select("id", "n", "times", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("new")).alias("edited_fingerprint"), *[links(F.col(c)).alias(c) for c in ("own", "new", "next_own")])
     both = both.select("id", "n", "times", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))

@@ -217,6 +217,17 @@ def test_fingerprints_of_long_texts(spark):
     assert 0.6 < got[2].near_next < 0.7
 
 
+def test_fingerprints_of_short_texts(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    items = [base + " x"[: 63 - len(base)], base + " xy", base + " xyz", "one two three", "one two three four", "a", " \n"]
+    assert [len(x) for x in items[:2]] == [63, 65]
+    got = sorted(edited_likeness(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")).collect())
+    assert all(r.near_next > 0.5 for r in got[:2])
+    assert 0 < got[3].near_next < 1
+    assert all(r.fingerprint for r in got[:6])
+    assert got[6].fingerprint == ""
+
+
 def test_chat(spark):
     talks = [*CONTROL_ROWS, (1, 0, "user", "hi"), (1, 1, "assistant", "yo \\h < # \\"), (2, 0, "user", "hi"), (2, 1, "assistant", "other"), (3, 5, None, None), (3, 5, None, None), (None, 0, "a:b", "x</turn>\n")]
     df = spark.createDataFrame([(*t, "clash", 1) for t in talks], "conv_id long, turn long, role string, text string, node string, at int")
