@@ -16,7 +16,7 @@ from foliary.llm.quality import judge_documents
 from foliary.llm.repeats import repeat_digests, without_repeats
 from foliary.llm.sharding import shard_documents
 from foliary.llm.toxicity import score_documents, without_toxic
-from foliary.llm.urls import judge_pages, listed_urls
+from foliary.llm.urls import judge_pages, listed_urls, possible
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, tie long, size long, _key string, c0 string, node long, class long"
 WORDS = " ".join(f"word{i * 7919 % 1000}" for i in range(300))
@@ -253,6 +253,20 @@ def test_urls(spark):
     assert got == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: ("example.net/de/8", "block"), 8: ("net/de/", "allow")}
 
 
+def test_urls_of_a_long_list(spark):
+    listed = {f"h{i % 97}.org/a/{i}" for i in range(5_000)}
+    pages = [(i, f"https://H{i % 97}.org/a/{i}{'/' * (i % 3)}?q={i}") for i in range(0, 20_000, 3)]
+    want = {i: "block" if f"h{i % 97}.org/a/{i}" in listed else "allow" for i, _ in pages}
+    got = judge_pages(spark.createDataFrame(pages, "page_id long, url string"), listed=listed_urls(spark, tuple(listed))).collect()
+    assert {r.page_id: r.verdict for r in got} == want
+    assert set(want.values()) == {"block", "allow"}
+    keys = spark.createDataFrame([(u,) for u in listed], "key string")
+    asked = spark.createDataFrame([(u,) for u in [*listed, *(f"miss{i}" for i in range(20_000))]], "key string")
+    passed = {r.key for r in possible(asked, keys, len(listed)).collect()}
+    assert listed < passed
+    assert len(passed - listed) < 200
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
