@@ -20,8 +20,6 @@ COORDS = BANDS * ROWS
 THRESHOLD = 0.8
 #: Rounds in which buckets compare with one member, before the rest is compared in full.
 STAR_ROUNDS = 3
-#: Coordinates on which alike texts agree at least: four standard errors under the mean at the threshold.
-LEAST_AGREE = int(THRESHOLD * COORDS - 4 * (THRESHOLD * (1 - THRESHOLD) * COORDS) ** 0.5)
 #: Nodes of a bucket that one task holds of either side.
 BLOCK_NODES = 512
 
@@ -109,8 +107,8 @@ def alike(x: bytes, y: bytes) -> bool:
 def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between classes in a block of a bucket, or between two blocks of it; enough of them to join the classes.
 
-    Signatures that agree on too few coordinates are passed over; pairs that share an earlier band are that bucket's.
-    The likeliest pairs come first, and pairs whose classes are joined by then need no check.
+    Pairs that share an earlier band are that bucket's. The likeliest pairs, by the coordinates on which their signatures
+    agree, come first, and pairs whose classes are joined by then need no check.
     """
     none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     one, two = int(rows["one"].iloc[0]), int(rows["two"].iloc[0])
@@ -129,7 +127,9 @@ def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
         if k < band:
             before |= all_
     roots = left["root"].to_numpy(), right["root"].to_numpy()
-    ok = (agree >= LEAST_AGREE) & ~before & (roots[0][:, None] != roots[1][None, :])
+    sizes = [r["regions"].map(len).to_numpy() for r in (left, right)]
+    fits = np.minimum(sizes[0][:, None], sizes[1][None, :]) >= THRESHOLD * np.maximum(sizes[0][:, None], sizes[1][None, :])
+    ok = fits & ~before & (roots[0][:, None] != roots[1][None, :])
     if one == two:
         ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
     i, j = np.nonzero(ok)

@@ -10,7 +10,7 @@ import pytest
 from foliary.llm.chat import CONTROL_ROWS, chat_digests, prefix_tree
 from foliary.llm.fingerprints import edited_likeness
 from foliary.llm.mixing import mix_sources, mixed_documents
-from foliary.llm.neardup import near_duplicate_classes, without_near_duplicates
+from foliary.llm.neardup import COORDS, compare_block, near_duplicate_classes, without_near_duplicates
 from foliary.llm.packing import encoder, pack_documents, vocabulary
 from foliary.llm.quality import judge_documents
 from foliary.llm.repeats import repeat_digests, without_repeats
@@ -131,6 +131,16 @@ def test_near_duplicates_of_a_large_group(spark):
     assert len({got[1000 + k] for k in range(50)}) == 50
 
 
+def test_near_duplicates_with_unlike_signatures():
+    import numpy as np
+    import pandas as pd
+
+    bag = lambda a, b: np.arange(a, b, dtype=np.uint64).tobytes()
+    bags = [bag(0, 900), bag(100, 1000), bag(150, 1100), bag(5000, 5900), bag(0, 700)]  # 0.8, 0.81, apart, 0.78
+    rows = [("k", 0, i, i, 0, 0, 0, b, np.full(COORDS, i, np.uint16).tobytes()) for i, b in enumerate(bags)]
+    got = compare_block(pd.DataFrame(rows, columns=["key", "band", "node", "root", "block", "one", "two", "regions", "sig"]))
+    assert sorted(zip(got.a, got.b, strict=True)) == [(0, 1), (1, 2)]
+
 def test_toxicity(spark, docs):
     rows = [(i, f"plain words number {i}. " + ("you vile{} thing. ".format("xyz"[i % 3]) if i % 4 == 0 else "") + "more plain text here.") for i in range(400)]
     corpus = spark.createDataFrame(rows, "doc_id long, text string")
