@@ -57,13 +57,14 @@ def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any byte ranges of a block, each in constant time."""
+    """Hashes of any ranges of a sequence, each in constant time: of bytes, or of units that are 64-bit values."""
 
     def __init__(self, data: np.ndarray, which: int = 0) -> None:
         up, self.down = powers(len(data) + 1, which)
+        values = TABLES[which][data] if data.dtype == np.uint8 else mix(data + TABLES[which][0])
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(TABLES[which][data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(values * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]

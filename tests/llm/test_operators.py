@@ -13,6 +13,7 @@ from foliary.llm.mixing import mix_sources, mixed_documents
 from foliary.llm.neardup import COORDS, compare_block, near_duplicate_classes, without_near_duplicates
 from foliary.llm.packing import encoder, pack_documents, vocabulary
 from foliary.llm.quality import judge_documents
+from foliary.llm import repeats
 from foliary.llm.repeats import repeat_digests, without_repeats
 from foliary.llm.sharding import shard_documents
 from foliary.llm.toxicity import score_documents, without_toxic
@@ -107,8 +108,54 @@ def test_repeats(docs):
         want.append((i or -1, len(gone), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()))
     got = [(r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_digests(docs).collect()]
     assert sorted(got) == sorted(want)
-    assert without_repeats(docs).columns == docs.columns
-    assert without_repeats(docs).count() == docs.count()
+    for scale in (repeats.BYTES, repeats.WORDS):
+        kept = without_repeats(docs, scale)
+        assert kept.schema.names == docs.columns
+        same = lambda df: sorted(repr([v for k, v in r.asDict().items() if k not in ("text", "n_chars")]) for r in df.collect())
+        assert same(kept) == same(docs)
+        assert all(r.n_chars == len(r.text or "") for r in kept.collect())
+        assert {r.size for r in kept.collect() if r.text is None} == {1}
+
+
+BLANK = r"[^\x20\x09-\x0D]+"
+
+
+def passages(items, n=50):
+    """Which words of each text stand in passages of n words that another text of another id has too."""
+    where = {}
+    words = [re.findall(BLANK, t) for _, t in items]
+    for (i, t), w in zip(items, words, strict=True):
+        for p in range(len(w) - n + 1):
+            where.setdefault(tuple(w[p : p + n]), set()).add((i, t))
+    for w in words:
+        gone = bytearray(len(w))
+        for p in range(len(w) - n + 1):
+            if len(where[tuple(w[p : p + n])]) > 1:
+                gone[p : p + n] = b"\1" * n
+        yield gone
+
+
+def test_passages(spark, docs):
+    from random import Random
+
+    rnd = Random(5)
+    say = lambda n, k=900: " ".join(f"w{rnd.randrange(k)}" for _ in range(n))
+    shared = [say(n) for n in (49, 50, 51, 52, 60, 75, 130)]
+    made = [(100 + i, "\n".join([say(rnd.randrange(60)), shared[i % 7] if i % 9 else "", say(rnd.randrange(40)), shared[(i * 5) % 7]])) for i in range(80)]
+    made += [(300, say(20) + " " + " ".join([say(60, 3)] * 2)), (301, " ".join(["a"] * 500)), (302, " ".join(["a"] * 70)), (303, " ".join(["b"] * 300))]
+    items = [*texts(docs), *made]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    want = sorted((i or -1, sum(gone)) for (i, _), gone in zip(items, passages(items), strict=True))
+    assert sorted((r.doc_id or -1, r.passage_words) for r in repeat_digests(df).collect()) == want
+    left = []
+    for (i, t), gone in zip(items, passages(items), strict=True):
+        spans, at = [m.span() for m in re.finditer(BLANK, t)], 0
+        out = ""
+        for m in re.finditer(b"\1+", bytes(gone)):
+            out += t[at : spans[m.start()][0]]
+            at = spans[m.end() - 1][1]
+        left.append((i or -1, out + t[at:]))
+    assert sorted((r.doc_id or -1, r.text or "") for r in without_repeats(df).collect()) == sorted(left)
 
 
 def test_near_duplicates(docs):
