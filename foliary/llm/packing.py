@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -73,50 +73,74 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, source string, tie long, n long, ids binary")
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut each document at the borders of the sequences."""
-    for batch in batches:
-        out: list[tuple] = []
-        for doc, n, place, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "place", "ids")), strict=True):
-            ids = memoryview(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes())
-            start = 0
-            while start < n:
-                seq, offset = divmod(place + start, WINDOW)
-                length = min(n - start, WINDOW - offset)
-                out.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, seq, offset))
-                start += length
-        cols = list(zip(*out, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+def shared_out(lo: np.ndarray, hi: np.ndarray, first: np.ndarray, end: np.ndarray, total: int, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """The pieces of runs of queue tokens in windows: run, start in it, length, window, offset there.
+
+    Queues lie beside each other in a stack of `total` tokens; one's tokens are lo to hi of it, and a run is its tokens
+    first to end, counted from lo. The stack is halved again and again until a single window is left. The first half's
+    windows get so many of each queue's first tokens as is their share of all, to the token: a stack height of C is
+    rounded to C * share. So either half is full, no queue gets less than nothing or more than it has, and what rounding
+    leaves over is the deficit that the other half and then all windows in it carry. A full window has each queue's part
+    of all tokens within 3, wherever it is; a run's pieces depend on its own queue's heights alone.
+    """
+    run = np.arange(len(lo))
+    start = np.zeros(len(lo), np.int64)
+    a, b = np.zeros(len(lo), np.int64), np.full(len(lo), -(-total // window), np.int64)
+    done = []
+    while len(run):
+        leaf = b - a == 1
+        done.append([x[leaf] for x in (run, start, end - first, a, lo + first)])
+        run, start, first, end, lo, hi, a, b = (x[~leaf] for x in (run, start, first, end, lo, hi, a, b))
+        middle = (a + b) >> 1
+        share = (middle - a) * window / (np.minimum(b * window, total) - a * window)
+        low, high = (np.floor(x * share + 0.5).astype(np.int64) for x in (lo, hi))
+        mine = high - low
+        left, right = first < mine, end > mine
+        over = np.maximum(first, mine)
+        one = [x[left] for x in (run, start, first, np.minimum(end, mine), low, high, a, middle)]
+        two = [x[right] for x in (run, start + over - first, over - mine, end - mine, lo - low, hi - high, middle, b)]
+        run, start, first, end, lo, hi, a, b = (np.concatenate(x) for x in zip(one, two, strict=True))
+    out = [np.concatenate(x) for x in zip(*done, strict=True)]
+    order = np.lexsort((out[1], out[0]))
+    return tuple(x[order] for x in out)
+
+
+def cut(total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cut each document where its queue's part of a window ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, before, lo, hi = (batch.column(c).to_numpy() for c in ("n", "before", "lo", "hi"))
+            doc, start, length, seq, offset = shared_out(lo, hi, before, before + n, total)
+            ids = [memoryview(np.frombuffer(raw.as_buffer(), "<u2" if len(raw.as_buffer()) == 2 * k else "<u4").astype("<u4").tobytes()) for raw, k in zip(batch.column("ids"), n.tolist(), strict=True)]
+            crc = [zlib.crc32(ids[d][4 * s : 4 * (s + k)]) for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            cols = [batch.column("doc_id").take(pa.array(doc)), *[pa.array(x, pa.int64()) for x in (start, length, crc, n[doc], seq, offset)]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return run
 
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The pieces of all documents in sequences of WINDOW tokens, filled to each source's share of all tokens.
+    """The pieces of all documents in sequences of WINDOW tokens, each filled to every source's share of all tokens.
 
-    Deficit round-robin gives each source's queue its share of a window as credit in every round, and a document
-    leaves its queue in the first round in which the credits so far cover the queue's tokens to its end; unused credit
-    carries over. With C the queue's tokens up to a document's end and S those of its source out of T in all, that round
-    is ceil(C / S * T / WINDOW). So rounds come from prefix sums of each queue, and places in the packed stream from
-    prefix sums in the order (round, source, queue): deficits carry across windows and partitions with no task
-    walking the queues. The stream is cut every WINDOW tokens, so only the last sequence is padded.
+    Deficit round-robin in a closed form: a source's documents queue up in the order of a hash of doc_id, and each
+    window takes from each queue what its share of a window is, in whole tokens, while deficits carry on to other
+    windows (shared_out). A document's pieces follow from its place in its queue and the sizes of the queues, so no task
+    walks a queue: prefix sums by ranges of the hash give the places. Only the last sequence is padded. A document is
+    cut wherever its queue's part of a window ends, so many sources or small ones make short pieces.
 
     A null text is empty and yields the end id alone; a null source is a queue; a null doc_id stays null; equal rows
-    are packed as often as they come. No rows give no rows; other columns are ignored.
+    are packed as often as they come; a text of any length is encoded as a whole and cut freely. No rows give no rows;
+    other columns are ignored.
     """
     path = path or vocabulary()
     rows = materialize(tokenize(docs, path).withColumn("rid", F.monotonically_increasing_id()), "tokens")
     queues = materialize(rows.groupBy("source").agg(F.sum("n").alias("queue_n"), F.count(F.lit(1)).alias("rows")), "queues")
-    total = queues.agg(F.sum("queue_n"), F.sum("rows"), F.count(F.lit(1))).first()
-    tokens, n_rows, n_queues = (total[0] or 0, total[1] or 0, total[2])
-    queues = queues.withColumn("queue", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    queues = queues.withColumn("ranges", F.least(F.lit(MAX_RANGES), F.ceil(F.col("rows") / RANGE_ROWS)).cast("long")).withColumnRenamed("source", "_s")
-    line = rows.drop("ids").join(small(queues, n_queues), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+    tokens, n_queues = queues.agg(F.sum("queue_n"), F.count(F.lit(1))).first()
+    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    queues = queues.select(F.col("source").alias("_s"), F.row_number().over(by_name).alias("queue"), F.sum("queue_n").over(by_name.rowsBetween(Window.unboundedPreceding, 0)).alias("hi"), "queue_n", F.least(F.lit(MAX_RANGES), F.ceil(F.col("rows") / RANGE_ROWS)).cast("long").alias("ranges"))
+    line = rows.drop("ids").join(small(queues, n_queues), F.col("source").eqNullSafe(F.col("_s"))).withColumn("lo", F.col("hi") - F.col("queue_n"))
     line = line.withColumn("h", hash31(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("queue")))
-    line = line.withColumn("range", bucket_of(F.col("h"), F.col("ranges")))
-    line = prefix_sums(line, ["queue"], "range", ["h", "doc_id", "tie", "rid"], "n", "before")
-    turn = F.ceil((F.col("before") + F.col("n")) / F.col("queue_n") * F.lit(tokens / WINDOW)).cast("long")
-    spans = max(1, min(MAX_RANGES, n_rows // RANGE_ROWS))
-    last = max(1, -(-tokens // WINDOW)) + 1
-    line = line.withColumn("turn", turn).withColumn("span", F.floor(F.col("turn") * F.lit(spans / last)).cast("long"))
-    line = materialize(line.select("rid", "n", "turn", "queue", "before", "span"), "rounds")
-    line = prefix_sums(line, [], "span", ["turn", "queue", "before"], "n", "place")
-    return rows.select("rid", "doc_id", "n", "ids").join(line.select("rid", "place"), "rid").mapInArrow(cut, PIECE)
+    line = line.withColumn("range", bucket_of(F.col("h"), F.col("ranges"))).select("rid", "doc_id", "tie", "n", "h", "range", "queue", "lo", "hi")
+    line = prefix_sums(materialize(line, "line"), ["queue"], "range", ["h", "doc_id", "tie", "rid"], "n", "before")
+    return rows.select("rid", "doc_id", "n", "ids").join(line.select("rid", "before", "lo", "hi"), "rid").mapInArrow(cut(tokens or 0), PIECE)

@@ -11,7 +11,7 @@ from foliary.llm.chat import CONTROL_ROWS, chat_digests, prefix_tree
 from foliary.llm.fingerprints import edited_likeness
 from foliary.llm.mixing import mix_sources, mixed_documents
 from foliary.llm.neardup import COORDS, compare_block, near_duplicate_classes, without_near_duplicates
-from foliary.llm.packing import encoder, pack_documents, vocabulary
+from foliary.llm.packing import encoder, pack_documents, shared_out, vocabulary
 from foliary.llm.quality import judge_documents
 from foliary.llm import repeats
 from foliary.llm.repeats import repeat_digests, without_repeats
@@ -90,6 +90,39 @@ def test_packing(docs):
     assert sum(r.doc_tokens for r in got if r.start == 0) == total
 
 
+@pytest.mark.parametrize("sizes", [[5], [9000, 1], [700_000, 70_000, 69_000, 3, 1], [2048 * 3 + 1, 2048, 77], list(range(1, 300))])
+def test_packing_of_queues(sizes):
+    """Against a plain walk over the windows: every token once, windows full and near each queue's share."""
+    import numpy as np
+
+    total, ends = sum(sizes), np.cumsum(sizes)
+    runs = []  # (queue, first, end): documents of up to 5,000 tokens
+    for q, n in enumerate(sizes):
+        at = 0
+        while at < n:
+            k = min(n - at, 1 + (at * 7919 + q * 31) % 5000)
+            runs.append((q, at, at + k))
+            at += k
+    q, first, end = (np.array(x) for x in zip(*runs, strict=True))
+    run, start, length, seq, offset = shared_out(ends[q] - np.array(sizes)[q], ends[q], first, end, total)
+    assert (np.bincount(run, weights=length) == end - first).all()
+    new = np.append(True, run[1:] != run[:-1])
+    assert (start[new] == 0).all() and (start[~new] == (start + length)[:-1][~new[1:]]).all()
+    place = np.sort(seq * 2048 + offset)
+    order = np.argsort(seq * 2048 + offset)
+    assert (place == np.append(0, np.cumsum(length[order])[:-1])).all()
+    assert (offset + length <= 2048).all()
+    queue_first = first[run] + start
+    for k in range(len(sizes)):  # a queue's tokens come in its order
+        mine = order[q[run[order]] == k]
+        assert (np.diff(queue_first[mine]) > 0).all()
+    got = np.zeros((seq.max() + 1, len(sizes)))
+    np.add.at(got, (seq, q[run]), length)
+    full = got[: total // 2048]
+    assert len(got) == -(-total // 2048) and (full.sum(axis=1) == 2048).all()
+    assert (np.abs(full - 2048 * np.array(sizes) / total) <= 3).all()
+
+
 def removed(items, n=400):
     count = Counter(t[p : p + n] for t in items for p in range(len(t) - n + 1))
     for t in items:
