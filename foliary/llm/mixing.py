@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.scratch import bucket_of, keyed, materialize, prefix_sums, small
+from foliary.llm.scratch import bucket_of, keyed, materialize, packed, prefix_sums, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -81,24 +81,29 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """documents as the mix takes them: a row for each copy, the one at a budget's edge cut after its last word."""
-    columns = docs.columns
+    """documents as the mix takes them: a row for each copy, the one at a budget's edge cut after its last word.
+
+    A null text has no words and so is not taken; a null source is a source, a null doc_id hashes as the empty string;
+    rows equal in doc_id and text are taken one after another. Columns of any other name, those of the helpers among
+    them, keep their values. No rows give no rows.
+    """
     none = F.array().cast("array<long>")
     copies = F.concat(F.array_repeat("size", F.col("full").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(none))
-    rows = takes(docs.select("doc_id", "source", "text"), **options).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), copies.alias("_copies"))
-    rows = materialize(rows, "copies")
-    id_, tie = keyed(docs)
-    out = docs.withColumns({"_id": id_, "_tie": tie})
-    if rows.groupBy("_id", "_tie").count().where("count > 1").head(1):
-        rows = rows.groupBy("_id", "_tie", "_size").agg(F.flatten(F.collect_list("_copies")).alias("_copies"))
-        out = out.dropDuplicates(["_id", "_tie"])
-    out = out.join(rows, ["_id", "_tie"]).withColumn("_n", F.explode("_copies"))
-    whole = F.col("_n") >= F.col("_size")
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_n").cast("int")), "")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns)
+    rows = takes(docs.select("doc_id", "source", "text"), **options).select("id", "tie", "source", "size", copies.alias("copies"))
+    rows = materialize(rows.where("size > 0"), "copies")
+    out = packed(docs).withColumn("source", F.col("row.source"))
+    if rows.groupBy("id", "tie", "source").count().where("count > 1").head(1):
+        rows = rows.groupBy("id", "tie", "source", "size").agg(F.flatten(F.collect_list("copies")).alias("copies"))
+        out = out.dropDuplicates(["id", "tie", "source"])
+    rows = rows.withColumnRenamed("source", "of").where(F.size("copies") > 0)
+    out = out.join(rows, ["id", "tie"]).where(F.col("source").eqNullSafe(F.col("of"))).select("row", "size", F.explode("copies").alias("n"))
+    whole, text = F.col("n") >= F.col("size"), F.col("row.text")
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    short = F.array_join(F.slice(words, 1, F.col("n").cast("int")), "")
+    changed = F.col("row").withField("text", short)
+    if "n_chars" in docs.columns:
+        changed = changed.withField("n_chars", F.length(short).cast(docs.schema["n_chars"].dataType))
+    return out.select(F.when(whole, F.col("row")).otherwise(changed).alias("row")).select("row.*")
 
 
 #: The same rows as op1 in DuckDB's SQL.

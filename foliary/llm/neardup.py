@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm.components import components
 from foliary.llm.flat import blocks, copies, mix, shingles, word_hashes
-from foliary.llm.scratch import NO_ID, keyed, materialize
+from foliary.llm.scratch import NO_ID, keyed, materialize, packed
 
 #: Coordinates in bands of rows: at a likeness of 0.8 a pair meets in no band with odds of 6e-5, at 0.5 in one with 0.39.
 BANDS, ROWS = 32, 6
@@ -20,8 +19,10 @@ COORDS = BANDS * ROWS
 THRESHOLD = 0.8
 #: Rounds in which buckets compare with one member, before the rest is compared in full.
 STAR_ROUNDS = 3
-#: Nodes of a bucket that one task holds of either side.
-BLOCK_NODES = 512
+#: Nodes of a bucket that one task holds of either side, and their regions, about; columns of a matrix of regions.
+BLOCK_NODES, BLOCK_REGIONS, COLUMNS = 512, 1 << 20, 2048
+#: Bags that are alike differ in size by less than this factor.
+SIZE_STEP = 1 / THRESHOLD + 1e-4
 
 
 def regions(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,17 +83,16 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted regions and the signature of each document, two bytes a coordinate."""
+    """The sorted regions of each document, and their number."""
     for batch in batches:
         for i, j, data, offs in blocks(batch.column("text")):
             region, doc = regions(data, offs)
-            sig = dart_minhash(region, doc, j - i)
             order = np.lexsort((region, doc))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))])
+            n = np.bincount(doc, minlength=j - i)
+            ends = np.concatenate([[0], np.cumsum(n)])
             region = region[order]
             raw = [region[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            short = [x.tobytes() for x in (sig >> np.uint64(48)).astype(np.uint16)]
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(raw, pa.binary()), pa.array(short, pa.binary())], ["node", "regions", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(raw, pa.binary()), pa.array(n, pa.int64())], ["node", "regions", "n"])
 
 
 def alike(x: bytes, y: bytes) -> bool:
@@ -104,62 +104,89 @@ def alike(x: bytes, y: bytes) -> bool:
     return shared >= THRESHOLD * (len(x) + len(y) - shared)
 
 
-def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
+def shared_regions(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many regions each of the left bags shares with each of the right ones, by products of 0-1 matrices over
+    the regions that both sides have, COLUMNS at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (left, right)]
+    both = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    if left is right:
+        v, n = np.unique(sides[0][0], return_counts=True)
+        both = v[n > 1]
+    if not len(both):
+        return out
+    coded = []
+    for v, row in sides:
+        code = np.minimum(np.searchsorted(both, v), len(both) - 1)
+        hit = both[code] == v
+        code, row = code[hit], row[hit]
+        order = np.argsort(code, kind="stable")
+        coded.append((code[order], row[order]))
+    for at in range(0, len(both), COLUMNS):
+        matrices = []
+        for (code, row), n in zip(coded, out.shape, strict=True):
+            a, b = np.searchsorted(code, (at, at + COLUMNS))
+            x = np.zeros((n, min(COLUMNS, len(both) - at)), np.float32)
+            x[row[a:b], code[a:b] - at] = 1
+            matrices.append(x)
+        out += matrices[0] @ matrices[1].T
+    return out
+
+
+def compare_block(rows: pa.Table) -> pa.Table:
     """Links between classes in a block of a bucket, or between two blocks of it; enough of them to join the classes.
 
-    Pairs that share an earlier band are that bucket's. The likeliest pairs, by the coordinates on which their signatures
-    agree, come first, and pairs whose classes are joined by then need no check.
+    All pairs of the two blocks are compared, exactly.
     """
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    one, two = int(rows["one"].iloc[0]), int(rows["two"].iloc[0])
-    left, right = rows[rows.block == one], rows[rows.block == two]
-    if not len(left) or not len(right):
-        return none
-    x, y = (np.frombuffer(b"".join(r.sig), np.uint16).reshape(len(r), COORDS) for r in (left, right))
-    agree, before = np.zeros((len(x), len(y)), np.int16), np.zeros((len(x), len(y)), bool)
-    band = int(rows["band"].iloc[0])
-    for k in range(BANDS):
-        all_ = np.ones_like(before)
-        for c in range(k, COORDS, BANDS):
-            eq = x[:, c, None] == y[None, :, c]
-            agree += eq
-            all_ &= eq
-        if k < band:
-            before |= all_
-    roots = left["root"].to_numpy(), right["root"].to_numpy()
-    sizes = [r["regions"].map(len).to_numpy() for r in (left, right)]
-    fits = np.minimum(sizes[0][:, None], sizes[1][None, :]) >= THRESHOLD * np.maximum(sizes[0][:, None], sizes[1][None, :])
-    ok = fits & ~before & (roots[0][:, None] != roots[1][None, :])
-    if one == two:
-        ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
-    i, j = np.nonzero(ok)
-    order = np.argsort(-agree[i, j], kind="stable")
-    parent: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while (p := parent.get(v, v)) != v:
-            parent[v] = v = parent.get(p, p)
-        return v
-
-    sets = left["regions"].to_numpy(), right["regions"].to_numpy()
-    nodes = left["node"].to_numpy(), right["node"].to_numpy()
-    out = []
-    for p, q in zip(i[order], j[order], strict=True):
-        u, v = find(int(roots[0][p])), find(int(roots[1][q]))
-        if u != v and alike(sets[0][p], sets[1][q]):
-            parent[max(u, v)] = min(u, v)
-            out.append((nodes[0][p], nodes[1][q]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else none
+    names = rows.column("block").to_numpy()
+    one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+    bags = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("regions")]
+    nodes, roots = (rows.column(c).to_numpy() for c in ("node", "root"))
+    left = np.flatnonzero(names == one)
+    right = left if one == two else np.flatnonzero(names == two)
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right) and len(np.unique(roots)) > 1:
+        mine = [bags[i] for i in left]
+        shared = shared_regions(mine, mine if one == two else [bags[i] for i in right])
+        sizes = np.array([len(x) for x in bags], np.float64)
+        near = shared >= THRESHOLD * (sizes[left][:, None] + sizes[right][None, :] - shared)
+        near &= roots[left][:, None] != roots[right][None, :]
+        parent: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (p := parent.get(v, v)) != v:
+                parent[v] = v = parent.get(p, p)
+            return v
+
+        for i, j in zip(*np.nonzero(near), strict=True):
+            u, v = find(int(roots[left[i]])), find(int(roots[right[j]]))
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((int(nodes[left[i]]), int(nodes[right[j]])))
+    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def compare_all(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that join the classes of each bucket, from all of its pairs, block by block. Only links are rows."""
-    n = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
-    rows = rows.join(n, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    mates = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("one"), F.greatest(F.col("block"), o).alias("two")))
-    rows = rows.select("key", "band", "node", "root", "block", F.explode(mates).alias("m")).select("key", "band", "node", "root", "block", "m.*")
-    rows = rows.join(sets, "node")
-    return rows.groupBy("key", "one", "two").applyInPandas(compare_block, "a long, b long")
+    """Links that join the classes of each bucket, from all of its pairs, block by block. Only links are rows.
+
+    Bags whose sizes are so far apart that they can't be alike aren't compared: a bucket's members go by SIZE_STEP into
+    classes of size, and blocks of a class meet blocks of that and of the next class alone. A block has some BLOCK_NODES
+    members, or BLOCK_REGIONS regions if they are long.
+    """
+    rows = rows.join(sets.select("node", "n"), "node").withColumn("c", F.floor(F.log(F.col("n")) / F.lit(float(np.log(SIZE_STEP)))).cast("long"))
+    least = F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_REGIONS)
+    of_class = rows.groupBy("key", "c").agg(F.ceil(least).alias("blocks"))
+    of_key = of_class.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", "blocks"))).alias("blocks"))
+    rows = rows.join(of_key, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("c"))))
+    name = lambda c, k: F.shiftleft(c, 32) + k
+    own = name(F.col("c"), F.col("mine")).alias("block")
+    others = lambda c: F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.try_element_at("blocks", c), F.lit(0)) - 1, F.lit(1).cast("long")), lambda k: name(c, k))
+    there = lambda c: F.when(F.try_element_at("blocks", c).isNotNull(), others(c)).otherwise(F.array().cast("array<long>"))
+    mates = F.concat(*[there(F.col("c") + d) for d in (-1, 0, 1)])
+    rows = rows.select("key", "node", "root", own, F.explode(mates).alias("mate"))
+    rows = rows.select("key", "node", "root", "block", F.least("block", "mate").alias("one"), F.greatest("block", "mate").alias("two"))
+    rows = rows.join(sets.select("node", "regions"), "node")
+    return rows.groupBy("key", "one", "two").applyInArrow(compare_block, "a long, b long")
 
 
 def likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +218,7 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = texts.mapInArrow(sign, "id long, tie long, same string, weight long, bands array<long>")
     signed = materialize(signed.withColumn("rid", F.monotonically_increasing_id()), "signed")
     blank = F.when(F.col("weight") == 0, F.lit("")).otherwise(F.col("same"))
-    nodes = signed.groupBy(blank.alias("same")).agg(F.min("rid").alias("node"))
+    nodes = materialize(signed.groupBy(blank.alias("same")).agg(F.min("rid").alias("node")), "nodes")  # a table, so that Spark splits the join on a text of many copies
     member = signed.select("id", "tie", "rid", blank.alias("same")).join(nodes, "same").select("id", "tie", "rid", "node")
     member = materialize(member, "members")
     own = member.where("rid = node").select("rid")
@@ -200,7 +227,7 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = materialize(bands.join(often, "key").select("key", "band", F.col("rid").alias("node")), "buckets")
     wanted = member.join(buckets.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi").select("id", "tie", "node")
     sets = texts.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("node", "text")
-    sets = materialize(sets.mapInArrow(gather, "node long, regions binary, sig binary"), "regions")
+    sets = materialize(sets.mapInArrow(gather, "node long, regions binary, n long"), "regions")
     if sets.count() > wanted.count():  # rows equal in doc_id and text
         sets = materialize(sets.dropDuplicates(["node"]), "regions")
     links, roots = None, None
@@ -234,7 +261,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     class_id is the least doc_id of the class; one row of each class is kept, one with that id. Classes are the
     connected components of equal texts and of texts whose bags of 5-word shingles have a weighted Jaccard likeness of
     0.8 or more. Texts with 1 to 4 words are one shingle; texts without words, null among them, are one class. Null
-    doc_ids count as the least number. No rows give no rows; other columns are ignored.
+    doc_ids count as the least number; equal rows are copies. A text of any length is one block of a task. No rows give no
+    rows; other columns are ignored.
     """
     rows = materialize(classes(docs.select("doc_id", "text")), "classes")
     sizes = rows.groupBy("class").agg(F.min(F.struct("id", "rid")).alias("least"), F.count(F.lit(1)).alias("class_size"))
@@ -244,9 +272,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """documents with one row of each class of near-duplicates, columns as they are."""
+    """documents with one row of each class of near-duplicates: one with the least doc_id, its columns as they are.
+
+    Of rows equal in doc_id and text any one stays. Null texts and texts without words are one class; a null doc_id is
+    the least. Columns of any other name, those of the helpers among them, keep their values. No rows give no rows.
+    """
     rows = materialize(classes(docs.select("doc_id", "text")), "classes")
-    kept = rows.groupBy("class").agg(F.min(F.struct("id", "rid", "tie")).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.tie").alias("_tie"))
-    id_, tie = keyed(docs)
-    out = docs.withColumns({"_id": id_, "_tie": tie})
-    return out.join(kept, ["_id", "_tie"], "left_semi").dropDuplicates(["_id", "_tie"]).select(*docs.columns)
+    kept = rows.groupBy("class").agg(F.min(F.struct("id", "rid", "tie")).alias("x")).select("x.id", "x.tie")
+    return packed(docs).join(kept, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"]).select("row.*")

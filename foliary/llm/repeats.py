@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm.flat import Rolling, blocks, mix, word_hashes
-from foliary.llm.scratch import discard, keyed, materialize
+from foliary.llm.scratch import discard, keyed, materialize, packed
 
 
 @dataclass(frozen=True)
@@ -305,8 +305,7 @@ def without_repeats(docs: DataFrame, scale: Scale = WORDS) -> DataFrame:
     without blanks are few long words: BYTES finds their repeats. No rows give no rows.
     """
     cut = materialize(_cut(docs.select("doc_id", "text"), scale).select("id", "tie", "kept"), "cut").dropDuplicates(["id", "tie"])
-    id_, tie = keyed(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_, tie).join(cut, ["id", "tie"], "left")
+    rows = packed(docs).join(cut, ["id", "tie"], "left")
     hit, row = F.col("kept").isNotNull(), F.col("row")
     changed = row.withField("text", F.col("kept"))
     if "n_chars" in docs.columns:

@@ -76,3 +76,9 @@ def prefix_sums(df: DataFrame, groups: list[str], bucket: str, order: list, valu
 def keyed(docs: DataFrame) -> tuple[Column, Column]:
     """doc_id (null as a number of its own) and a hash of the text: rows with equal keys have equal texts."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, id, tie): the rows as structs beside their keys, so that no column of docs meets a helper's name."""
+    id_, tie = keyed(docs)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_, tie)

@@ -211,15 +211,71 @@ def test_near_duplicates_of_a_large_group(spark):
     assert len({got[1000 + k] for k in range(50)}) == 50
 
 
-def test_near_duplicates_with_unlike_signatures():
+def test_near_duplicates_of_a_block():
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     bag = lambda a, b: np.arange(a, b, dtype=np.uint64).tobytes()
     bags = [bag(0, 900), bag(100, 1000), bag(150, 1100), bag(5000, 5900), bag(0, 700)]  # 0.8, 0.81, apart, 0.78
-    rows = [("k", 0, i, i, 0, 0, 0, b, np.full(COORDS, i, np.uint16).tobytes()) for i, b in enumerate(bags)]
-    got = compare_block(pd.DataFrame(rows, columns=["key", "band", "node", "root", "block", "one", "two", "regions", "sig"]))
-    assert sorted(zip(got.a, got.b, strict=True)) == [(0, 1), (1, 2)]
+    rows = [{"key": 0, "node": i, "root": i, "block": 0, "one": 0, "two": 0, "regions": b} for i, b in enumerate(bags)]
+    got = compare_block(pa.Table.from_pylist(rows)).to_pylist()
+    assert sorted((r["a"], r["b"]) for r in got) == [(0, 1), (1, 2)]
+    apart = [r | {"block": i % 2, "two": 1} for i, r in enumerate(rows)]
+    assert sorted((r["a"], r["b"]) for r in compare_block(pa.Table.from_pylist(apart)).to_pylist()) == [(0, 1), (2, 1)]
+
+
+def test_near_duplicates_of_mixed_buckets(spark, monkeypatch):
+    """Without star rounds: buckets of one common passage and several classes, in small blocks, against brute force."""
+    from foliary.llm import neardup
+
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(60):
+        own = [f"w{k % 20}x{i}" for i in range(8 + k % 20)]
+        own[(k // 20) % len(own)] = f"edit{k}"
+        rows.append((k, " ".join(passage + own)))
+
+    def bag(t):
+        w = t.split()
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    bags = [bag(t) for _, t in rows]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total():
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(60)] == root
+
+
+def test_stages_keep_columns(spark):
+    """Columns with the helpers' names keep their values."""
+    names = ["id", "tie", "row", "kept", "copies", "size", "n", "of", "_id", "_tie", "_key", "_n", "_hash", "rid", "spans", "class"]
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(k, say(k % 12) + f" tail{k}", "abc"[k % 3], *[f"{c}{k}" for c in names]) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    for stage in (without_repeats, without_near_duplicates, mixed_documents):
+        got = stage(df)
+        assert got.columns == df.columns
+        got = got.collect()
+        assert got
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+
+
+def test_stages_with_a_long_text(spark):
+    """A text of 4 MB, and the same again with another end."""
+    long = " ".join(f"word{i * 7919 % 500_009}" for i in range(400_000))
+    df = spark.createDataFrame([(1, long + " one", "a"), (2, long + " two", "a"), (3, "a short text of some words", "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: len(r.text) for r in without_repeats(df).collect()} == {1: 4, 2: 4, 3: 26}
+    assert {r.doc_id for r in without_near_duplicates(df).collect()} == {1, 3}
+    got = {r.doc_id: r for r in repeat_digests(df).collect()}
+    assert got[1].n_removed == len(long) + 1 and got[1].passage_words == 400_000 and got[3].n_removed == 0
+    assert sum(r.length for r in pack_documents(df).collect()) > 400_000
+
 
 def test_toxicity(spark, docs):
     rows = [(i, f"plain words number {i}. " + ("you vile{} thing. ".format("xyz"[i % 3]) if i % 4 == 0 else "") + "more plain text here.") for i in range(400)]
