@@ -10,149 +10,149 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values that must equal the reference's for right results: ranks, neutral phrases, and rules in their order as "kind; label; pattern".
+# Fixed values that must equal the reference's for right results: ranks, neutral phrases, and rules (kind, label, pattern) in their order.
 RANKS = {"doctorate": 70, "master": 60, "postgraduate": 50, "bachelor": 40, "technical": 30, "secondary": 20, "course": 10, "profession": 5}
-NEUTRAL = r"""
-\ben curso\b
-\bcursando\b
-\bcurso (?:\d|hasta\b)
-\bgrado academico\b
-\bem curso\b
-\bin progress\b
-\bon-?going\b
-\bun-?finished\b
-\bnot (?:completed|finished)\b
-\bincomplet[eoa]s?\b
-\bem andamento\b
-\btrancad[oa]\b
-"""
-RULES = r"""
-postgraduate; Posgrado; \bpost-?graduate (?:certificate|diploma)\b
-postgraduate; Posgrado; \bgraduate (?:certificate|diploma)\b
-postgraduate; Posgrado; \bdiplomad[oa] (?:de|en) pos-?t?-?grado\b
-postgraduate; Posgrado; \bdiploma (?:de|en) pos-?t?-?grado\b
-postgraduate; Posgrado; \bcertificad[oa] (?:de|en) pos-?t?-?grado\b
-bachelor; Diplomatura; \bdiplomad[oa] universitari[oa]\b
-bachelor; Ingeniería; \bingenier[oa] tecnic[oa]\b
-bachelor; Ingeniería; \bingenieria tecnica\b
-bachelor; Arquitectura; \barquitect[oa] tecnic[oa]\b
-secondary; Bachillerato; \bbachiller(?:ato)? tecnic[oa]\b
-secondary; Secundario; \bsecundari[oa] tecnic[oa]\b
-secondary; Educación Media; \b(?:educacion|ensenanza) media tecnica\b
-secondary; Educación Media; \bensino medio tecnico\b
-secondary; Preparatoria; \bmedia superior\b
-secondary; Secundario; \btechnical (?:high|secondary) ?school\b
-secondary; Secundario; \bvocational (?:high|secondary) ?school\b
-technical; Técnico; \bcurso tecnico\b
-technical; Tecnólogo; \bcurso superior de tecnologia\b
-technical; Técnico; \btechnical (?:degree|diploma|certificate|school|college|program(?:me)?|studies)\b
-technical; Formación Profesional; \bvocational (?:degree|diploma|certificate|training|school|college|program(?:me)?)\b
-bachelor; Ingeniería; \bbachelor(?:'?s)?(?: degree)? (?:of|in) engineering\b
-technical; Técnico; \bmaestr[oa] mayor de obras?\b
-doctorate; Doctorado; \bdoctorad[oa]\b
-doctorate; Doctorado; \bdoctoral\b
-doctorate; Doctorado; \bdoctorates?\b
-doctorate; Doctorado; \bdoctora?\b
-doctorate; Doctorado; \bdoutorad[oa]\b
-doctorate; Doctorado; \bdoutora?\b
-doctorate; Doctorado; \bph\.?\s?d\.?
-doctorate; Doctorado; \bd\.?phil\b
-master; MBA; \b(?:executive )?mba\b
-master; MBA; \bemba\b
-master; MBA; \bmaster (?:of|in) business administration\b
-master; Maestría; \bmaestria\b
-master; Maestría; \bmaestro\b
-master; Maestría; \bmagister\b
-master; Maestría; \bmg(?:tr|r)?\.?(?=\s|$)
-master; Maestría; \bmestrad[oa]\b
-master; Maestría; \bmestre\b
-master; Máster; \bmasters?(?:'s)?\b
-master; Máster; \bm\.?(?:sc|eng|phil|fa|res|tech|ed)\.?(?=[\s(,;:/-]|$)
-master; Máster; \bm\.?[as]\.?(?=\s+(?:in|of|en)\b|\s*\(|\s*$)
-master; Máster; \bll\.?m\.?(?=[\s(,;:/-]|$)
-postgraduate; Especialización; \bespecializacion\b
-postgraduate; Especialización; \bespecializacao\b
-postgraduate; Especialización; \bespecialista\b
-postgraduate; Especialización; \bspeciali[sz]ation\b
-postgraduate; Especialización; \besp\.(?=\s|$)
-postgraduate; Especialización; \blato sensu\b
-postgraduate; Posgrado; \bpos-?t?-?\s?grado\b
-postgraduate; Posgrado; \bpos-?\s?graduacao\b
-postgraduate; Posgrado; \bpost-?graduate\b
-technical; Formación Profesional; \bciclo formativo\b
-technical; Formación Profesional; \bgrado (?:superior|medio)\b
-technical; Formación Profesional; \bformacion profesional\b
-technical; Formación Profesional; \bfp\b
-technical; Técnico Superior; \btecnic[oa] superior\b
-technical; Técnico Superior; \btsu\b
-technical; Tecnicatura; \btecnic[oa] universitari[oa]\b
-technical; Técnico; \btecnic[oa] profesional\b
-technical; Tecnicatura; \btecnicatura\b
-technical; Técnico; \btecnic[oa]s?\b
-technical; Técnico; \btec\.(?=\s|$)
-technical; Tecnólogo; \btecnolog[oa]\b
-technical; Terciario; \bterciari[oa]\b
-technical; Analista; \banalista\b
-technical; Tecnicatura; \bassociate(?:'?s)? (?:degree|of)\b
-technical; Tecnicatura; \bassociate(?:'?s)?\b
-technical; Tecnicatura; \ba\.?a\.?s\.?(?=[\s(,;:/-]|$)
-technical; Técnico; \btechnicians?\b
-technical; Tecnólogo; \btechnologists?\b
-bachelor; Licenciatura; \blicenciatura\b
-bachelor; Licenciatura; \blicenciad[oa]\b
-bachelor; Licenciatura; \blic\.?(?=\s|$)
-bachelor; Grado; \bgrado\b
-bachelor; Grado; \bgraduad[oa]\b
-bachelor; Pregrado; \bpre-?grado\b
-bachelor; Profesorado; \bprofesorado\b
-bachelor; Diplomatura; \bdiplomatura\b
-bachelor; Profesional; \bprofesional\b
-bachelor; Licenciatura; \bbachelors?(?:'s)?\b
-bachelor; Grado; \bundergraduate\b
-bachelor; Grado; \bgraduacao\b
-bachelor; Grado; \bensino superior\b
-bachelor; Licenciatura; \bbacharel(?:ado)?\b
-bachelor; Ingeniería; \bb\.?eng\.?(?=[\s(,;:/-]|$)
-bachelor; Licenciatura; \bb\.?(?:sc|ba|fa|com|tech|ed)\.?(?=[\s(,;:/-]|$)
-bachelor; Licenciatura; \bb\.?[as]\.?(?=\s+(?:in|of|en)\b|\s*\(|\s*$)
-bachelor; Abogacía; \bll\.?b\.?(?=[\s(,;:/-]|$)
-profession; Ingeniería; \bingenier(?:ia|[oa])\b
-profession; Ingeniería; \bing\.?(?=\s|$)
-profession; Ingeniería; \bengenh(?:aria|eir[oa])\b
-profession; Ingeniería; \bengineer(?:ing|s)?\b
-profession; Contador Público; \bcontador(?:a)? public[oa]\b
-profession; Contador Público; \bcontaduria\b
-profession; Contador Público; \bc\.?p\.?n?\.?(?=\s+en\b|\s*$)
-profession; Abogacía; \babogacia\b
-profession; Abogacía; \babogad[oa]\b
-profession; Abogacía; \babog\.(?=\s|$)
-profession; Arquitectura; \barquitect(?:ura|[oa])\b
-profession; Arquitectura; \barq\.(?=\s|$)
-profession; Medicina; \bmedicina\b
-profession; Medicina; \bmedic[oa] cirujan[oa]\b
-secondary; Bachillerato; \bbachiller(?:ato)?\b
-secondary; Secundario; \bsecundari[oa]\b
-secondary; Educación Media; \b(?:educacion|ensenanza|ensino) medi[oa]\b
-secondary; Preparatoria; \bpreparatoria\b
-secondary; Preparatoria; \bprepa\b
-secondary; ESO; \beso\b
-secondary; Secundario; \bpolimodal\b
-secondary; Secundario; \bhigh ?school\b
-secondary; Secundario; \bsecondary (?:school|education)\b
-short course; Bootcamp; \bbootcamp\b
-short course; Curso; \bcursos?\b
-short course; Curso; \bcourse\b
-short course; Certificación; \bcertificad[oa]\b
-short course; Certificación; \bcertificacion\b
-short course; Certificación; \bcertifica(?:te|tion|ted)\b
-short course; Taller; \btaller(?:es)?\b
-short course; Taller; \bworkshop\b
-short course; Seminario; \bseminario\b
-short course; Curso; \bcapacitacion\b
-short course; Curso; \bnanodegree\b
-course; Diplomado; \bdiplomad[oa]\b
-course; Diplomado; \bdiploma\b
-"""
+NEUTRAL = (
+    r"\ben curso\b",
+    r"\bcursando\b",
+    r"\bcurso (?:\d|hasta\b)",
+    r"\bgrado academico\b",
+    r"\bem curso\b",
+    r"\bin progress\b",
+    r"\bon-?going\b",
+    r"\bun-?finished\b",
+    r"\bnot (?:completed|finished)\b",
+    r"\bincomplet[eoa]s?\b",
+    r"\bem andamento\b",
+    r"\btrancad[oa]\b",
+)
+RULES = (
+    ("postgraduate", "Posgrado", r"\bpost-?graduate (?:certificate|diploma)\b"),
+    ("postgraduate", "Posgrado", r"\bgraduate (?:certificate|diploma)\b"),
+    ("postgraduate", "Posgrado", r"\bdiplomad[oa] (?:de|en) pos-?t?-?grado\b"),
+    ("postgraduate", "Posgrado", r"\bdiploma (?:de|en) pos-?t?-?grado\b"),
+    ("postgraduate", "Posgrado", r"\bcertificad[oa] (?:de|en) pos-?t?-?grado\b"),
+    ("bachelor", "Diplomatura", r"\bdiplomad[oa] universitari[oa]\b"),
+    ("bachelor", "Ingeniería", r"\bingenier[oa] tecnic[oa]\b"),
+    ("bachelor", "Ingeniería", r"\bingenieria tecnica\b"),
+    ("bachelor", "Arquitectura", r"\barquitect[oa] tecnic[oa]\b"),
+    ("secondary", "Bachillerato", r"\bbachiller(?:ato)? tecnic[oa]\b"),
+    ("secondary", "Secundario", r"\bsecundari[oa] tecnic[oa]\b"),
+    ("secondary", "Educación Media", r"\b(?:educacion|ensenanza) media tecnica\b"),
+    ("secondary", "Educación Media", r"\bensino medio tecnico\b"),
+    ("secondary", "Preparatoria", r"\bmedia superior\b"),
+    ("secondary", "Secundario", r"\btechnical (?:high|secondary) ?school\b"),
+    ("secondary", "Secundario", r"\bvocational (?:high|secondary) ?school\b"),
+    ("technical", "Técnico", r"\bcurso tecnico\b"),
+    ("technical", "Tecnólogo", r"\bcurso superior de tecnologia\b"),
+    ("technical", "Técnico", r"\btechnical (?:degree|diploma|certificate|school|college|program(?:me)?|studies)\b"),
+    ("technical", "Formación Profesional", r"\bvocational (?:degree|diploma|certificate|training|school|college|program(?:me)?)\b"),
+    ("bachelor", "Ingeniería", r"\bbachelor(?:'?s)?(?: degree)? (?:of|in) engineering\b"),
+    ("technical", "Técnico", r"\bmaestr[oa] mayor de obras?\b"),
+    ("doctorate", "Doctorado", r"\bdoctorad[oa]\b"),
+    ("doctorate", "Doctorado", r"\bdoctoral\b"),
+    ("doctorate", "Doctorado", r"\bdoctorates?\b"),
+    ("doctorate", "Doctorado", r"\bdoctora?\b"),
+    ("doctorate", "Doctorado", r"\bdoutorad[oa]\b"),
+    ("doctorate", "Doctorado", r"\bdoutora?\b"),
+    ("doctorate", "Doctorado", r"\bph\.?\s?d\.?"),
+    ("doctorate", "Doctorado", r"\bd\.?phil\b"),
+    ("master", "MBA", r"\b(?:executive )?mba\b"),
+    ("master", "MBA", r"\bemba\b"),
+    ("master", "MBA", r"\bmaster (?:of|in) business administration\b"),
+    ("master", "Maestría", r"\bmaestria\b"),
+    ("master", "Maestría", r"\bmaestro\b"),
+    ("master", "Maestría", r"\bmagister\b"),
+    ("master", "Maestría", r"\bmg(?:tr|r)?\.?(?=\s|$)"),
+    ("master", "Maestría", r"\bmestrad[oa]\b"),
+    ("master", "Maestría", r"\bmestre\b"),
+    ("master", "Máster", r"\bmasters?(?:'s)?\b"),
+    ("master", "Máster", r"\bm\.?(?:sc|eng|phil|fa|res|tech|ed)\.?(?=[\s(,;:/-]|$)"),
+    ("master", "Máster", r"\bm\.?[as]\.?(?=\s+(?:in|of|en)\b|\s*\(|\s*$)"),
+    ("master", "Máster", r"\bll\.?m\.?(?=[\s(,;:/-]|$)"),
+    ("postgraduate", "Especialización", r"\bespecializacion\b"),
+    ("postgraduate", "Especialización", r"\bespecializacao\b"),
+    ("postgraduate", "Especialización", r"\bespecialista\b"),
+    ("postgraduate", "Especialización", r"\bspeciali[sz]ation\b"),
+    ("postgraduate", "Especialización", r"\besp\.(?=\s|$)"),
+    ("postgraduate", "Especialización", r"\blato sensu\b"),
+    ("postgraduate", "Posgrado", r"\bpos-?t?-?\s?grado\b"),
+    ("postgraduate", "Posgrado", r"\bpos-?\s?graduacao\b"),
+    ("postgraduate", "Posgrado", r"\bpost-?graduate\b"),
+    ("technical", "Formación Profesional", r"\bciclo formativo\b"),
+    ("technical", "Formación Profesional", r"\bgrado (?:superior|medio)\b"),
+    ("technical", "Formación Profesional", r"\bformacion profesional\b"),
+    ("technical", "Formación Profesional", r"\bfp\b"),
+    ("technical", "Técnico Superior", r"\btecnic[oa] superior\b"),
+    ("technical", "Técnico Superior", r"\btsu\b"),
+    ("technical", "Tecnicatura", r"\btecnic[oa] universitari[oa]\b"),
+    ("technical", "Técnico", r"\btecnic[oa] profesional\b"),
+    ("technical", "Tecnicatura", r"\btecnicatura\b"),
+    ("technical", "Técnico", r"\btecnic[oa]s?\b"),
+    ("technical", "Técnico", r"\btec\.(?=\s|$)"),
+    ("technical", "Tecnólogo", r"\btecnolog[oa]\b"),
+    ("technical", "Terciario", r"\bterciari[oa]\b"),
+    ("technical", "Analista", r"\banalista\b"),
+    ("technical", "Tecnicatura", r"\bassociate(?:'?s)? (?:degree|of)\b"),
+    ("technical", "Tecnicatura", r"\bassociate(?:'?s)?\b"),
+    ("technical", "Tecnicatura", r"\ba\.?a\.?s\.?(?=[\s(,;:/-]|$)"),
+    ("technical", "Técnico", r"\btechnicians?\b"),
+    ("technical", "Tecnólogo", r"\btechnologists?\b"),
+    ("bachelor", "Licenciatura", r"\blicenciatura\b"),
+    ("bachelor", "Licenciatura", r"\blicenciad[oa]\b"),
+    ("bachelor", "Licenciatura", r"\blic\.?(?=\s|$)"),
+    ("bachelor", "Grado", r"\bgrado\b"),
+    ("bachelor", "Grado", r"\bgraduad[oa]\b"),
+    ("bachelor", "Pregrado", r"\bpre-?grado\b"),
+    ("bachelor", "Profesorado", r"\bprofesorado\b"),
+    ("bachelor", "Diplomatura", r"\bdiplomatura\b"),
+    ("bachelor", "Profesional", r"\bprofesional\b"),
+    ("bachelor", "Licenciatura", r"\bbachelors?(?:'s)?\b"),
+    ("bachelor", "Grado", r"\bundergraduate\b"),
+    ("bachelor", "Grado", r"\bgraduacao\b"),
+    ("bachelor", "Grado", r"\bensino superior\b"),
+    ("bachelor", "Licenciatura", r"\bbacharel(?:ado)?\b"),
+    ("bachelor", "Ingeniería", r"\bb\.?eng\.?(?=[\s(,;:/-]|$)"),
+    ("bachelor", "Licenciatura", r"\bb\.?(?:sc|ba|fa|com|tech|ed)\.?(?=[\s(,;:/-]|$)"),
+    ("bachelor", "Licenciatura", r"\bb\.?[as]\.?(?=\s+(?:in|of|en)\b|\s*\(|\s*$)"),
+    ("bachelor", "Abogacía", r"\bll\.?b\.?(?=[\s(,;:/-]|$)"),
+    ("profession", "Ingeniería", r"\bingenier(?:ia|[oa])\b"),
+    ("profession", "Ingeniería", r"\bing\.?(?=\s|$)"),
+    ("profession", "Ingeniería", r"\bengenh(?:aria|eir[oa])\b"),
+    ("profession", "Ingeniería", r"\bengineer(?:ing|s)?\b"),
+    ("profession", "Contador Público", r"\bcontador(?:a)? public[oa]\b"),
+    ("profession", "Contador Público", r"\bcontaduria\b"),
+    ("profession", "Contador Público", r"\bc\.?p\.?n?\.?(?=\s+en\b|\s*$)"),
+    ("profession", "Abogacía", r"\babogacia\b"),
+    ("profession", "Abogacía", r"\babogad[oa]\b"),
+    ("profession", "Abogacía", r"\babog\.(?=\s|$)"),
+    ("profession", "Arquitectura", r"\barquitect(?:ura|[oa])\b"),
+    ("profession", "Arquitectura", r"\barq\.(?=\s|$)"),
+    ("profession", "Medicina", r"\bmedicina\b"),
+    ("profession", "Medicina", r"\bmedic[oa] cirujan[oa]\b"),
+    ("secondary", "Bachillerato", r"\bbachiller(?:ato)?\b"),
+    ("secondary", "Secundario", r"\bsecundari[oa]\b"),
+    ("secondary", "Educación Media", r"\b(?:educacion|ensenanza|ensino) medi[oa]\b"),
+    ("secondary", "Preparatoria", r"\bpreparatoria\b"),
+    ("secondary", "Preparatoria", r"\bprepa\b"),
+    ("secondary", "ESO", r"\beso\b"),
+    ("secondary", "Secundario", r"\bpolimodal\b"),
+    ("secondary", "Secundario", r"\bhigh ?school\b"),
+    ("secondary", "Secundario", r"\bsecondary (?:school|education)\b"),
+    ("short course", "Bootcamp", r"\bbootcamp\b"),
+    ("short course", "Curso", r"\bcursos?\b"),
+    ("short course", "Curso", r"\bcourse\b"),
+    ("short course", "Certificación", r"\bcertificad[oa]\b"),
+    ("short course", "Certificación", r"\bcertificacion\b"),
+    ("short course", "Certificación", r"\bcertifica(?:te|tion|ted)\b"),
+    ("short course", "Taller", r"\btaller(?:es)?\b"),
+    ("short course", "Taller", r"\bworkshop\b"),
+    ("short course", "Seminario", r"\bseminario\b"),
+    ("short course", "Curso", r"\bcapacitacion\b"),
+    ("short course", "Curso", r"\bnanodegree\b"),
+    ("course", "Diplomado", r"\bdiplomad[oa]\b"),
+    ("course", "Diplomado", r"\bdiploma\b"),
+)
 
 
 class Degree(NamedTuple):
@@ -161,12 +161,8 @@ class Degree(NamedTuple):
     start: int
 
 
-def _compiled() -> tuple[list[re.Pattern], list[tuple[str, str, re.Pattern]]]:
-    rules = (line.split("; ", 2) for line in RULES.strip().splitlines())
-    return [re.compile(p, re.ASCII) for p in NEUTRAL.strip().splitlines()], [(kind, label, re.compile(p, re.ASCII)) for kind, label, p in rules]
-
-
-_neutral, _rules = _compiled()
+_neutral = [re.compile(p, re.ASCII) for p in NEUTRAL]
+_rules = [(kind, label, re.compile(p, re.ASCII)) for kind, label, p in RULES]
 #: A short course wins over every other title, and a profession tells of a bachelor's degree.
 LEVEL_OF = {"profession": "bachelor", "short course": "course"}
 

@@ -9,7 +9,6 @@ import regex
 
 from foliary.functions import phrases as P
 from foliary.functions.headings import BOUNDARY, HEADING_WORDS, INLINE_LANGUAGES, LEAD, PATTERNS, SECTIONS, TAIL, TITLE_CONNECTORS
-from foliary.functions.lexicon import LEVEL_PHRASES, LEVEL_WORDS
 
 # Fixed values that must equal the reference's for right results.
 CITIES = [
@@ -27,15 +26,19 @@ LANGUAGES = [
     ["german", "aleman", "alemao", "deutsch"], ["italian", "italiano"], ["chinese", "mandarin", "mandarin chinese", "chino", "chino mandarin", "chines", "cantonese"], ["japanese", "japones"], ["korean", "coreano"],
     ["russian", "ruso", "russo"], ["arabic", "arabe"], ["hebrew", "hebreo", "hebraico"], ["dutch", "neerlandes", "holandes"], ["catalan", "catala"], ["guarani"], ["quechua"], ["hindi"], ["polish", "polaco"],
 ]
-#: Of the level phrases and words, those that stand for a level of their own.
-FIRST_LEVEL_PHRASES, LAST_LEVEL_WORD = LEVEL_PHRASES[:-3], "basic"
+#: Levels that are read after the name of a language.
+LEVELS = (
+    "native or bilingual proficiency", "full professional proficiency", "professional working proficiency", "limited working proficiency", "elementary proficiency", "idioma materno",
+    "lengua materna", "lingua materna", "lingua nativa", "mother tongue", "native speaker", "upper intermediate", "upper-intermediate", "pre-intermediate", "conversational",
+    "conversacional", "intermediario", "intermediate", "intermedio", "intermedia", "principiante", "elementary", "proficient", "bilingual", "bilingue", "avanzado", "avanzada", "avancado",
+    "advanced", "elemental", "beginner", "materno", "materna", "nativo", "nativa", "native", "fluent", "fluido", "fluida", "fluente", "basico", "basica", "basic",
+)
 EXTENSION = r"(?:\s*(?:[,;(]\s*)?(?:int\.?|interno|ext\.?|extension|extensi[oó]n|x)\s*\.?\s*\d{1,6}\)?)"
 PHONE = regex.compile(rf"\+?\(?\d[\d\s().\-/]{{4,}}\d{EXTENSION}?", regex.I)
 PHONE_EXTENSION = regex.compile(rf"{EXTENSION}\s*$", regex.I)
 CITY_PREFIX = regex.compile(r"^\s*(?:ciudad de|city of)\s+", regex.I)
 
-_LEVELS = [*FIRST_LEVEL_PHRASES, *LEVEL_WORDS[: LEVEL_WORDS.index(LAST_LEVEL_WORD) + 1]]
-_LEVEL = r"(?:[abc][12]\+?|" + "|".join(sorted((w.replace("-", "[- ]") for w in _LEVELS), key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+_LEVEL = r"(?:[abc][12]\+?|" + "|".join(sorted((w.replace("-", "[- ]") for w in LEVELS), key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
 _AFTER_NAME = regex.compile(rf"^[\s(:\-–—|=]*({_LEVEL}(?:\s*[(\-–—/,]?\s*\(?\s*{_LEVEL}\s*\)?)?)")
 _SECTIONS = {k: regex.compile(p) for k, p in PATTERNS.items()}
 _boundary, _inline, _lead, _tail = (regex.compile(p) for p in (BOUNDARY, INLINE_LANGUAGES, LEAD, TAIL))

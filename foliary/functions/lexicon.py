@@ -48,8 +48,8 @@ ORG_WORDS = (
     "universidad universitat university"
 ).split()
 NAME_CONNECTORS = "de del la las los el y e & of the and for".split()
-#: Initials that may be written with dots and spaces; those of the first list may go on with "de C.V.".
-LEGAL_INITIALS, LEGAL_INITIALS_ALONE, LEGAL_WORDS = "sa sapi sab sas sac srl".split(), "sl sc".split(), "ltda inc llc ltd gmbh corp spa plc".split()
+#: A legal form at the end of a folded name.
+LEGAL_SUFFIX = r"(?:^|[\s,])(?:s\.?\s?a\.?(?:\s?(?:p\.?\s?i\.?|b\.?|s\.?|c\.?))?(?:\s?de c\.?\s?v\.?)?|s\.?\s?de r\.?\s?l\.?(?:\s?de c\.?\s?v\.?)?|s\.?\s?r\.?\s?l\.?(?:\s?de c\.?\s?v\.?)?|s\.?\s?l\.?|s\.?\s?c\.?|ltda\.?|inc\.?|llc\.?|ltd\.?|gmbh|corp\.?|spa|plc|co\.)$"
 LEVEL_PHRASES = (
     "native or bilingual proficiency", "full professional proficiency", "professional working proficiency", "limited working proficiency", "elementary proficiency", "idioma materno", "lengua materna", "lingua materna",
     "lingua nativa", "mother tongue", "native speaker", "upper intermediate", "upper-intermediate", "pre-intermediate", "lectura tecnica", "muy bueno", "en curso",

@@ -11,9 +11,8 @@ from functools import lru_cache
 import regex
 
 from foliary.functions import dates
-from foliary.functions.classify import LEGAL
 from foliary.functions.degrees import find_degree
-from foliary.functions.lexicon import HEADING_PREFIXES, LEVEL_PHRASES, LEVEL_WORDS, LOW_VALUE_HEADINGS, NAME_CONNECTORS, ORG_WORDS, ROLE_WORDS
+from foliary.functions.lexicon import HEADING_PREFIXES, LEGAL_SUFFIX, LEVEL_PHRASES, LEVEL_WORDS, LOW_VALUE_HEADINGS, NAME_CONNECTORS, ORG_WORDS, ROLE_WORDS
 from foliary.functions.text import _fold
 
 # Fixed values that must equal the reference's for right results.
@@ -39,7 +38,7 @@ ACRONYM = regex.compile(r"^[\p{Lu}.&]{2,8}$")
 SOME_DAY = dt.date(2026, 1, 1)
 
 fold = lru_cache(100_000)(_fold)
-_legal = regex.compile(LEGAL)
+_legal = regex.compile(LEGAL_SUFFIX)
 
 
 def said(value: object) -> str | None:

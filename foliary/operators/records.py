@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,35 +96,71 @@ def nearest(anchors: DataFrame, rows: DataFrame, key: str, reach: int = 2) -> Da
     return hit.groupBy(key, "anchor").agg(F.min_by("pos", "rank").alias("pos"), F.min_by("line", "rank").alias("line"))
 
 
-def assign(matrix: list[list[float]], threshold: float = 0.5) -> list[tuple[int, int]]:
-    """AGG9: one-to-one pairs of most total likeness; ties to the lowest indices; greedy beyond 16 columns."""
-    cols = len(matrix[0]) if matrix else 0
-    if cols > 16:
-        ranked = sorted((-v, i, j) for i, row in enumerate(matrix) for j, v in enumerate(row) if v >= threshold)
-        used: tuple[set, set] = (set(), set())
-        out = []
-        for _, i, j in ranked:
-            if i not in used[0] and j not in used[1]:
-                out.append((i, j))
-                used[0].add(i)
-                used[1].add(j)
-        return sorted(out)
-
-    @lru_cache(maxsize=None)
-    def best(i: int, free: int) -> float:
-        if i == len(matrix):
-            return 0.0
-        gains = (matrix[i][j] + best(i + 1, free & ~(1 << j)) for j in range(cols) if free >> j & 1 and matrix[i][j] >= threshold)
-        return max(best(i + 1, free), max(gains, default=0.0))
-
-    out, free = [], (1 << cols) - 1
-    for i in range(len(matrix)):
-        for j in range(cols):
-            if free >> j & 1 and matrix[i][j] >= threshold and abs(matrix[i][j] + best(i + 1, free & ~(1 << j)) - best(i, free)) < 1e-9:
-                out.append((i, j))
-                free &= ~(1 << j)
+#: Beyond so many columns pairs are taken one by one, the likeliest first: a rule of the contract, not of speed.
+MOST_COLUMNS = 16
+
+
+def _likeliest_first(sims: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """The greatest entry left, at the lowest indices, takes its row and column out, again and again."""
+    left, out = sims.copy(), []
+    while left.size and left.max() >= threshold:
+        i, j = divmod(int(left.argmax()), left.shape[1])
+        out.append((i, j))
+        left[i], left[:, j] = -np.inf, -np.inf
+    return sorted(out)
+
+
+def _greatest_total(sims: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Shortest augmenting paths over whole-number costs. Of equal totals, earlier rows get lower columns.
+
+    Each row has a column of its own besides, which leaves it single. A likeness is a whole number of billionths,
+    times more than all the ranks of columns, which only speak at a tie, could add up to.
+    """
+    n, m = sims.shape
+    place = [(m + 1) ** (n - i) for i in range(n + 1)]
+    cost = [[0] * (m + n) for _ in range(n)]
+    closed = 2 * (n + 1) * 10**9 * place[0]
+    for i in range(n):
+        for j in range(m + n):
+            if j < m:
+                cost[i][j] = -(round(float(sims[i, j]) * 10**9) * place[0] + (m - j) * place[i + 1]) if sims[i, j] >= threshold else closed
+            elif j != m + i:
+                cost[i][j] = closed
+    row_price, col_price, owner = [0] * n, [0] * (m + n), [-1] * (m + n)
+    for start in range(n):
+        far = {j: (cost[start][j] - row_price[start] - col_price[j], -1) for j in range(m + n)}
+        done: dict[int, int] = {}
+        while True:
+            j = min((j for j in far if j not in done), key=lambda j: (far[j][0], j))
+            done[j] = far[j][0]
+            if owner[j] < 0:
                 break
-    return out
+            i = owner[j]
+            for k in far:
+                if k not in done and (step := done[j] + cost[i][k] - row_price[i] - col_price[k]) < far[k][0]:
+                    far[k] = step, j
+        end = done[j]
+        row_price[start] += end
+        for k, d in done.items():
+            if owner[k] >= 0:
+                row_price[owner[k]] += end - d
+            col_price[k] -= end - d
+        while j >= 0:
+            before = far[j][1]
+            owner[j] = owner[before] if before >= 0 else start
+            j = before
+    return sorted((owner[j], j) for j in range(m) if owner[j] >= 0)
+
+
+def assign(matrix: list[list[float]], threshold: float = 0.5) -> list[tuple[int, int]]:
+    """AGG9: one-to-one pairs of a likeness of threshold or more and of the greatest total; ties to the lowest indices.
+
+    A matrix of over MOST_COLUMNS columns is paired the likeliest first.
+    """
+    if not matrix or not matrix[0]:
+        return []
+    sims = np.asarray(matrix, np.float64)
+    return _likeliest_first(sims, threshold) if sims.shape[1] > MOST_COLUMNS else _greatest_total(sims, threshold)
 
 
 def assign_entries(pairs: DataFrame) -> DataFrame:
