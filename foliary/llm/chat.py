@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.scratch import NO_ID, materialize
+from foliary.llm.scratch import NO_ID, materialize, prefix_sums
 
 CONTROL = r"\### Assistant: </turn> ok"
 CONTROL_ROWS = [(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)]
@@ -39,53 +40,99 @@ def unescape(text: str) -> str:
 
 
 def turns(talks: DataFrame) -> DataFrame:
-    """(conv, at, role, text): the turns of each conversation by turn, numbered from 0."""
-    w = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    """(conv, segment, head, body, trained, own, n): each turn in the template, conversations one by one in their order.
+
+    own is a digest of the segment, n its characters, head and body those before and of the text.
+    """
     rows = talks.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("at", F.row_number().over(w).cast("long") - 1).drop("turn")
+    body, head = escape(F.col("text")), F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPE), F.lit(MIDDLE))
+    rows = rows.repartition(F.col("conv")).sortWithinPartitions("conv", "turn", "role", "text")
+    rows = rows.select("conv", F.concat(head, body, F.lit(CLOSE)).alias("segment"), F.length(head).cast("long").alias("head"), F.length(body).cast("long").alias("body"), (F.col("role") == TRAINED).alias("trained"))
+    return rows.withColumns({"own": F.unhex(F.sha2(F.col("segment").cast("binary"), 256)), "n": F.length("segment").cast("long")})
 
 
-def prefix_tree(talks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tree's nodes, and (conv, at, node) for the turns of every conversation.
+def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a turn's place in its conversation, a digest of all turns so far, and the characters before it.
 
-    A node is a turn after certain earlier turns: conversations share a node as long as all turns so far are equal.
-    A node's path is the list of its ancestors' digests and its own; sorted paths are the depth-first order. The
-    nodes' (node, segment, loss_start, loss_end, position, start, ancestors): the formatted turn, the trained
-    characters in it, the position id of its first character, which counts on from its parent's last, its place in
-    the depth-first stream, and the stream's intervals it attends to besides itself. Each node's text is there once.
+    One digest and two numbers are all that is kept of a conversation, which may span batches.
     """
-    body = escape(F.col("text"))
-    head = F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPE), F.lit(MIDDLE))
-    rows = turns(talks).select("conv", "at", F.concat(head, body, F.lit(CLOSE)).alias("segment"), F.length(head).cast("long").alias("head"), F.length(body).cast("long").alias("body"), (F.col("role") == TRAINED).alias("trained"))
-    own = F.substring(F.sha2(F.col("segment").cast("binary"), 256), 1, 32)
-    rows = rows.withColumn("own", own)
-    sofar = Window.partitionBy("conv").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    # the digest of all turns so far: a running sum of hashes that depend on the place would do, a chain is exact
-    chain = F.aggregate(F.collect_list("own").over(sofar), F.lit(""), lambda a, x: F.substring(F.sha2(F.concat(a, x).cast("binary"), 256), 1, 32))
-    rows = rows.withColumn("node", chain)
-    rows = rows.withColumn("path", F.array_join(F.collect_list("node").over(sofar), ""))
-    before = Window.partitionBy("conv").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("position", F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)).cast("long"))
-    rows = materialize(rows.drop("own"), "turns")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("conv", "at")).alias("first"))
-    nodes = rows.join(nodes.select(F.col("first.conv").alias("conv"), F.col("first.at").alias("at")), ["conv", "at"])
-    order = nodes.select("node", "path", F.length("segment").cast("long").alias("n")).repartitionByRange(F.col("path")).withColumn("part", F.spark_partition_id())
-    order = materialize(order, "order")
-    sums = order.groupBy("part").agg(F.sum("n").alias("n"))
-    sums = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    order = order.join(sums, "part").select("node", "n", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).cast("long").alias("start"))
-    order = materialize(order, "stream")
-    spans = rows.select("conv", "at", "node").join(order, "node")
-    above = F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).over(before)
-    spans = spans.select("conv", "at", "start", above.alias("ancestors"))
+    conv, at, position, digest = None, 0, 0, b""
+    for batch in batches:
+        out: list[tuple] = []
+        for c, own, n in zip(*(batch.column(x).to_pylist() for x in ("conv", "own", "n")), strict=True):
+            if c != conv:
+                conv, at, position, digest = c, 0, 0, b""
+            digest = hashlib.sha256(digest + own).digest()[:16]
+            out.append((at, digest, position))
+            at, position = at + 1, position + n
+        more = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in KEPT), *more], [*KEPT, "at", "node", "position"])
+
+
+KEPT = ("conv", "segment", "head", "body", "trained", "n")
+TURNS = "conv long, segment string, head long, body long, trained boolean, n long, at long, node binary, position long"
+
+
+class Tree(NamedTuple):
+    """nodes: (node, run, at, segment, loss_start, loss_end, position, start), each once.
+    runs: (run, start, end, ancestors). spans: (path, run, least, most, start, end). member: (conv, path)."""
+
+    nodes: DataFrame
+    runs: DataFrame
+    spans: DataFrame
+    member: DataFrame
+
+
+def prefix_tree(talks: DataFrame) -> Tree:
+    """Conversations that share their first turns, merged to a tree, and the tree written depth first. Tokens are characters.
+
+    A node is a turn after certain earlier turns, named by a digest that goes on from its parent's. Distinct
+    conversations, sorted by the lists of their nodes, are the depth-first order of the leaves; what each adds to those
+    before it is a run, the end of its list, and runs one after another are the stream. Each node has the position id
+    of its first character, which counts on from its parent's last, its place in the stream, and the interval of
+    trained characters in its segment. It attends to its run from the run's start and to the run's ancestors, the
+    intervals of the stream where its earlier turns stand (attention()). All tables grow with the turns, the spans with
+    the places where paths branch: one for each run that a path goes through.
+    """
+    rows = materialize(turns(talks).mapInArrow(chained, TURNS), "turns")
+    ends = materialize(rows.groupBy("conv").agg(F.max_by("node", "at").alias("leaf")), "ends")
+    first = ends.groupBy("leaf").agg(F.min("conv").alias("conv"))
+    paths = rows.select("conv", "at", "node").join(first, "conv").groupBy("conv", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("path"))
+    paths = paths.select("conv", "leaf", F.transform("path", lambda x: x["node"]).alias("path"))
+    order = materialize(paths.repartitionByRange(F.col("path")).withColumn("part", F.spark_partition_id()), "paths")
+    order = prefix_sums(order.withColumn("one", F.lit(1).cast("long")), [], "part", ["path"], "one", "path_no")
+    order = materialize(order.select("conv", "leaf", "part", F.col("path_no").alias("path")), "order")
+
+    steps = materialize(rows.select("conv", "at", "node", "n", "position").join(order.select("conv", "path", "part"), "conv"), "steps")
+    owner = materialize(steps.groupBy("node").agg(F.min("path").alias("run")), "owners")
+    steps = materialize(steps.join(owner, "node"), "steps")
+    mine = steps.where("path = run")
+    runs = materialize(mine.groupBy("run", "part").agg(F.sum("n").alias("n"), F.min("position").alias("from"), F.min("at").alias("least")), "runs")
+    runs = materialize(prefix_sums(runs, [], "part", ["run"], "n", "start").select("run", "start", "n", "from"), "stream")
+    spans = steps.groupBy("path", "run").agg(F.min("at").alias("least"), F.max("at").alias("most"), F.min("position").alias("p"), F.max(F.col("position") + F.col("n")).alias("q"))
+    place = F.col("start") - F.col("from")
+    spans = spans.join(runs.select("run", "start", "from"), "run").select("path", "run", "least", "most", (place + F.col("p")).alias("start"), (place + F.col("q")).alias("end"))
+    spans = materialize(spans, "spans")
+    above = spans.where("run < path").groupBy(F.col("path").alias("run")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ancestors"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    told = runs.join(above, "run", "left").select("run", "start", (F.col("start") + F.col("n")).alias("end"), F.coalesce("ancestors", none).alias("ancestors"))
+
     loss_end = F.when(F.col("trained"), F.col("head") + F.col("body")).otherwise(F.col("head"))
-    nodes = nodes.join(spans, ["conv", "at"]).select("node", "segment", F.col("head").alias("loss_start"), loss_end.alias("loss_end"), "position", "start", "ancestors")
-    return nodes, rows.select("conv", "at", "node")
+    nodes = rows.join(mine.select("conv", "at", "run"), ["conv", "at"]).join(runs.select("run", "start", "from"), "run")
+    nodes = nodes.select("node", "run", "at", "segment", F.col("head").alias("loss_start"), loss_end.alias("loss_end"), "position", (F.col("start") + F.col("position") - F.col("from")).alias("start"))
+    member = ends.join(order.select("leaf", "path"), "leaf").select("conv", "path")
+    return Tree(materialize(nodes, "nodes"), told, spans, member)
+
+
+def attention(tree: Tree) -> DataFrame:
+    """nodes with ancestors: the intervals of the stream that a node attends to besides itself."""
+    runs = tree.runs.select("run", F.col("start").alias("begin"), F.col("ancestors").alias("above"))
+    own = F.when(F.col("start") > F.col("begin"), F.array(F.struct(F.col("begin").alias("start"), F.col("start").alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    return tree.nodes.join(runs, "run").withColumn("ancestors", F.concat("above", own)).drop("begin", "above")
 
 
 def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of conversations that come turn by turn, sorted; a conversation may span batches."""
+    """Digests of conversations whose segments come in the stream's order; a conversation may span batches."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     state: list | None = None
     out: list[tuple] = []
@@ -122,15 +169,16 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chat_digests(talks: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) for each conversation.
 
-    The tree's segments are put together again for each conversation, in the order of its turns, and read back: the
+    Each conversation is read back from the depth-first stream, through the intervals where its turns stand: the
     template's marks give role and text, the loss intervals the trained text. Rows of a conversation stand by turn,
     then role and text; a null role or text is empty; a null conv_id is a conversation; equal rows are turns of their
-    own. No rows give no rows; other columns are ignored.
+    own; equal conversations share all their nodes; a text of any length is one segment. No rows give no rows; other
+    columns are ignored.
     """
-    nodes, member = prefix_tree(talks)
-    nodes = materialize(nodes, "nodes")
-    rows = member.join(nodes.select("node", "segment", "loss_start", "loss_end"), "node").select("conv", "at", "segment", "loss_start", "loss_end")
-    rows = rows.repartition(F.col("conv")).sortWithinPartitions("conv", "at")
+    tree = prefix_tree(talks)
+    seen = tree.member.join(tree.spans.select("path", "run", "least", "most"), "path").select("conv", "run", "least", "most")
+    rows = seen.join(tree.nodes, "run").where("at >= least AND at <= most").select("conv", "start", "segment", "loss_start", "loss_end")
+    rows = rows.repartition(F.col("conv")).sortWithinPartitions("conv", "start")
     rows = rows.mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return rows.withColumn("conv_id", F.when(F.col("conv_id") != NO_ID, F.col("conv_id")))
 

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from foliary.llm.chat import CONTROL_ROWS, chat_digests, prefix_tree
+from foliary.llm.chat import CONTROL_ROWS, attention, chat_digests, prefix_tree
 from foliary.llm.fingerprints import edited_likeness
 from foliary.llm.mixing import mix_sources, mixed_documents
 from foliary.llm.neardup import COORDS, compare_block, near_duplicate_classes, without_near_duplicates
@@ -17,7 +17,7 @@ from foliary.llm import repeats
 from foliary.llm.repeats import repeat_digests, without_repeats
 from foliary.llm.sharding import shard_documents
 from foliary.llm.toxicity import score_documents, without_toxic
-from foliary.llm.urls import judge_pages, listed_urls, possible
+from foliary.llm.urls import judge_pages, possible, spam_urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, tie long, size long, _key string, c0 string, node long, class long"
 WORDS = " ".join(f"word{i * 7919 % 1000}" for i in range(300))
@@ -384,7 +384,7 @@ def test_chat(spark):
         assert got[conv].n_turns == len(mine)
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in mine).encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
-    nodes = {r.node: r for r in prefix_tree(df)[0].collect()}
+    nodes = {bytes(r.node): r for r in attention(prefix_tree(df)).collect()}
     assert len(nodes) == 8  # the first turn of 1 and 2 is there once
     ends = sorted((r.start, r.start + len(r.segment)) for r in nodes.values())
     assert ends[0][0] == 0
@@ -392,18 +392,55 @@ def test_chat(spark):
     assert all(r.position == sum(a.end - a.start for a in r.ancestors) for r in nodes.values())
 
 
+def test_chat_tree(spark):
+    """Depth-first order, shared segments once, and intervals, against a plain walk over paths."""
+    from random import Random
+
+    rnd = Random(3)
+    talks = [(c, t, ["user", "assistant"][t % 2], f"say {rnd.randrange(1 + t % 3)}") for c in range(60) for t in range(rnd.randrange(1, 9))]
+    talks += [(c, t, "user", "the same") for c in (100, 101, 102) for t in range(40)]
+    tree = prefix_tree(spark.createDataFrame(talks, "conv_id long, turn long, role string, text string"))
+    paths = {}
+    for c, t, role, text in talks:
+        paths.setdefault(c, []).append(f"### {role}: {text}</turn>\n")
+    prefixes = {tuple(p[: k + 1]) for p in paths.values() for k in range(len(p))}
+    nodes = sorted(attention(tree).collect(), key=lambda r: r.start)
+    assert len(nodes) == len(prefixes)
+    at = 0
+    for r in nodes:  # the stream has no gaps, and each segment stands right after what it attends to
+        assert r.start == at
+        at += len(r.segment)
+    stream = "".join(r.segment for r in nodes)
+    told = {"".join(stream[a.start : a.end] for a in r.ancestors) + r.segment for r in nodes}
+    assert told == {"".join(p) for p in prefixes}
+    assert all(sum(a.end - a.start for a in r.ancestors) == r.position for r in nodes)
+    spans = {}
+    for r in tree.spans.collect():
+        spans.setdefault(r.path, []).append((r.start, r.end))
+    for r in tree.member.collect():
+        assert "".join(stream[a:b] for a, b in sorted(spans[r.path])) == "".join(paths[r.conv])
+
+
 def test_urls(spark):
     pages = [(1, "http://A.Example.com/en/7198#top"), (2, "https://x.com/en/1"), (3, "http://example.org/?q"), (4, None), (5, "no scheme"), (6, "http://notcom/en/"), (7, "http://b.example.net/de/81?x"), (8, "http://net/de/")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, key int")
-    got = {r.page_id: (r.rule, r.verdict) for r in judge_pages(df, listed=listed_urls(spark)).collect()}
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_pages(df, listed=spark.createDataFrame([("example.org",), ("x.org",)], "url string")).collect()}
     assert got == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: ("example.net/de/8", "block"), 8: ("net/de/", "allow")}
 
 
+def test_spam_urls(spark):
+    urls = ["http://WWW.spam-farm.example.org/a/?x", "https://www.spam-farm.example.org/a//#y", "http://casino-win.net", "http://spammer.org/a", "https://my.blog.casino.org/b", None, "spam.org/x"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert sorted(r.url for r in spam_urls(df).collect()) == ["casino-win.net", "my.blog.casino.org/b", "www.spam-farm.example.org/a"]
+    got = judge_pages(df.union(df), listed=spam_urls(df)).collect()
+    assert sorted(r.page_id for r in got if r.verdict == "block") == [0, 0, 1, 1, 2, 2, 4, 4]
+
+
 def test_urls_of_a_long_list(spark):
     listed = {f"h{i % 97}.org/a/{i}" for i in range(5_000)}
     pages = [(i, f"https://H{i % 97}.org/a/{i}{'/' * (i % 3)}?q={i}") for i in range(0, 20_000, 3)]
     want = {i: "block" if f"h{i % 97}.org/a/{i}" in listed else "allow" for i, _ in pages}
-    got = judge_pages(spark.createDataFrame(pages, "page_id long, url string"), listed=listed_urls(spark, tuple(listed))).collect()
+    got = judge_pages(spark.createDataFrame(pages, "page_id long, url string"), listed=spark.createDataFrame([(u,) for u in listed], "url string")).collect()
     assert {r.page_id: r.verdict for r in got} == want
     assert set(want.values()) == {"block", "allow"}
     keys = spark.createDataFrame([(u,) for u in listed], "key string")
