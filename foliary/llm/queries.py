@@ -59,9 +59,10 @@ def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliary.llm.urls import RULES, judge_pages, listed_urls
+    from foliary.llm.urls import RULES, judge_pages, spam_urls
 
-    return judge_pages(_table(spark, sf_dir, "pages"), RULES, listed_urls(spark))
+    pages = _table(spark, sf_dir, "pages")
+    return judge_pages(pages, RULES, spam_urls(pages))
 
 
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm.scratch import BROADCAST_ROWS, materialize, small
 
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Canonical URLs (host and path without its last slash) that are blocked where no rule speaks.
-LISTED = ("example.org", "example.org/fr/1", "example.net/fr/25930", "example.com/de/1")
+#: Hosts with such a label are known for spam; the query's list is their pages' canonical URLs.
+SPAM = r"(^|[.-])(spam|casino)([.-]|$)"
 #: Words of 64 bits in a block, bits set for an entry, and entries a block is meant for: under 1 % of misses pass.
 BLOCK_WORDS, PROBES, PER_BLOCK = 4, 6, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,14 +24,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def listed_urls(spark: SparkSession, urls: tuple[str, ...] = LISTED) -> DataFrame:
-    return spark.createDataFrame([(u,) for u in urls], "url string")
-
-
 def canonical(host: Column, path: Column) -> Column:
     return F.concat(host, F.regexp_replace(path, "/+$", ""))
 
 
+def spam_urls(pages: DataFrame) -> DataFrame:
+    """(url): the canonical URLs (host and path without its last slashes) of pages on SPAM hosts, each once."""
+    host, path = host_and_path(F.col("url"))
+    return pages.select(host.alias("host"), path.alias("path")).where(F.col("host").rlike(SPAM)).select(canonical(F.col("host"), F.col("path")).alias("url")).distinct()
+
+
 def bloom(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
     """(block, bits): a blocked Bloom filter of n keys, one row a block."""
     blocks = max(1, -(-n // PER_BLOCK))
@@ -68,7 +70,7 @@ def judge_pages(pages: DataFrame, rules: tuple = RULES, listed: DataFrame | None
     other columns are ignored.
     """
     spark = pages.sparkSession
-    listed = listed if listed is not None else listed_urls(spark, ())
+    listed = listed if listed is not None else spark.createDataFrame([], "url string")
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     told = [(f"r\n{h}\n{p}", h, p, v, len(h) + len(p), len(h)) for h, p, v in rules]
@@ -97,7 +99,7 @@ WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN su
 x AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-l(u) AS (VALUES ('example.org'), ('example.org/fr/1'), ('example.net/fr/25930'), ('example.com/de/1')),
+l(u) AS (SELECT DISTINCT regexp_replace(host || path, '/+$', '') FROM x WHERE regexp_matches(host, '(^|[.-])(spam|casino)([.-]|$)')),
 m AS (SELECT x.host, x.path, h || p AS rule, v, row_number() OVER (PARTITION BY x.host, x.path ORDER BY length(h || p) DESC, length(h) DESC) AS k
       FROM (SELECT DISTINCT host, path FROM x) x JOIN r ON (x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p))
 SELECT x.page_id, x.host, x.path, m.rule, coalesce(m.v, CASE WHEN regexp_replace(x.host || x.path, '/+$', '') IN (SELECT u FROM l) THEN 'block' ELSE 'allow' END) AS verdict
