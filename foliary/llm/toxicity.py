@@ -203,7 +203,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents that score under CUT, columns as they are."""
+    """documents that score under CUT, columns as they are, whatever their names.
+
+    A null text scores as an empty one and stays null; equal texts go or stay together; a null doc_id has no label but is
+    scored; a text of any length is scored as a whole, as one block of a task. No rows give no rows; without labels, or
+    without toxic ones, all rows stay.
+    """
     model = train(docs, labels)
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text = f"c{docs.columns.index('text')}"
