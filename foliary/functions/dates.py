@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from functools import lru_cache
 import unicodedata
 from collections.abc import Callable
 
@@ -212,10 +213,15 @@ def latest(text: str | None, ref: dt.date) -> str | None:
     return max(found) if len(found) >= 2 else None
 
 
+#: Readings kept while a batch is read: dates repeat.
+REMEMBERED = 100_000
+
+
 def normalize_date(col: Column, ref: dt.date) -> Column:
     @F.pandas_udf("value string, current boolean, unparsed boolean, note string")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([normalize(t, ref) for t in texts], columns=["value", "current", "unparsed", "note"])
+        read = lru_cache(REMEMBERED)(lambda t: normalize(t, ref))
+        return pd.DataFrame([read(t) for t in texts], columns=["value", "current", "unparsed", "note"])
 
     return run(col)
 
@@ -224,7 +230,8 @@ def date_range(col: Column, ref: dt.date) -> Column:
     @F.pandas_udf("start string, end string, current boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
         empty = {"start": None, "end": None, "current": None}
-        return pd.DataFrame([split_range(t, ref) or empty for t in texts], columns=list(empty))
+        read = lru_cache(REMEMBERED)(lambda t: split_range(t, ref))
+        return pd.DataFrame([read(t) or empty for t in texts], columns=list(empty))
 
     return run(col)
 

@@ -29,6 +29,20 @@ def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.withColumn("detected", F.when(clear, ranked[0]["l"])).drop("_n")
 
 
+def numbered(rows: DataFrame, key: str, out: str = "k", per_range: int = 100_000) -> DataFrame:
+    """AGG19: rows numbered from 1 by a numeric key, in ranges of it: no task sorts more than a range, whose count comes first.
+
+    The cuts between ranges are quantiles, at most one for each per_range rows.
+    """
+    n = rows.count() // per_range
+    cuts = sorted({c for c in rows.approxQuantile(key, [i / (n + 1) for i in range(1, n + 1)], 0.1 / (n + 1))}) if n else []
+    rows = rows.withColumn("_range", sum((F.when(F.col(key) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rows = rows.join(F.broadcast(base), "_range")  # a row a range
+    return rows.withColumn(out, F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy(key))).drop("_range", "_base")
+
+
 def first_by(rows: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """AGG6-8: of rows with equal keys the first stays."""
     w = Window.partitionBy(*keys).orderBy(*order)

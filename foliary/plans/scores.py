@@ -112,10 +112,8 @@ ORACLES["topk_customers"] = "SELECT c_name, total::DOUBLE AS total FROM (SELECT
 
 @book.query("supplier", sql=r"SELECT 'S' || lpad(((SELECT max(regexp_extract(s_name, '([0-9]+)$', 1)::BIGINT) FROM supplier) + row_number() OVER (ORDER BY s_suppkey))::VARCHAR, 9, '0') AS new_id, s_suppkey FROM supplier WHERE s_acctbal < 0")
 def id_allocate(supplier):
-    from pyspark.sql import Window
-
     top = supplier.agg(F.max(F.regexp_extract("s_name", "([0-9]+)$", 1).cast("long")).alias("top"))
-    rows = supplier.where("s_acctbal < 0").withColumn("k", F.row_number().over(Window.orderBy("s_suppkey")))
+    rows = R.numbered(supplier.where("s_acctbal < 0").select("s_suppkey"), "s_suppkey")
     return rows.join(F.broadcast(top)).select(F.concat(F.lit("S"), F.lpad((F.col("top") + F.col("k")).cast("string"), 9, "0")).alias("new_id"), "s_suppkey")
 
 
@@ -124,7 +122,7 @@ def counts_by_key(events):
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.query("events")
+@book.query("events", sql="SELECT event_id, json(props)::VARCHAR AS canonical FROM events")
 def json_canonical(events):
     return events.select("event_id", R.canonical_json("props").alias("canonical"))
 
@@ -135,17 +133,3 @@ def json_repair(events):
 
 
 book.cases("json_cut", "a string, r string", [('{"a":[1,2,{"b":3},{"c', '{"a":[1,2,{"b":3}]}'), ('{"a":1}', '{"a":1}'), ('{"a":"x', None), ("[1,2", None), ('{"a":1,"b":[', None), ('so: {"a":{"x":"]}"},"b":2', '{"a":{"x":"]}"}}'), ('{"a":[1}', None), ('{"a":[{}]} {"b"', '{"a":[{}]}')], R.repaired_json)
-
-
-@book.query("documents", "benchmark")
-def assignment(docs, bench):
-    """Documents' first lines and benchmark items of the same residue, matched one to one by likeness of words."""
-    from foliary.functions.text import jaccard, token_set
-
-    t = docs.select((F.col("doc_id") % 50).alias("g"), F.col("doc_id").alias("t"), F.slice(token_set(F.col("text")), 1, 40).alias("x")).where("t < 400")
-    p = bench.select((F.col("item_id") % 50).alias("g"), F.col("item_id").alias("p"), F.slice(token_set(F.col("text")), 1, 40).alias("y"))
-    pairs = t.join(p, "g").select(F.col("g").alias("doc_id"), "t", "p", jaccard(F.col("x"), F.col("y")).alias("sim"))
-    return R.assign_entries(pairs)
-
-
-QUERIES.pop("assignment")  # kept as an example in tests; its table is a subset

@@ -70,10 +70,20 @@ def jaccard_pairs(docs, bench):
 BENCH_TERMS = "SELECT item_id, string_split({0}, ' ')[1:8] AS head FROM benchmark".format(SCORED)
 
 
-def _ngrams(rows, key, n=8):
+#: Words of a passage that counts as shared; benchmark grams up to this number are broadcast.
+GRAM, BROADCAST_GRAMS = 8, 2_000_000
+
+
+def _wordy(rows, key):
     words = F.filter(F.split(T.score_text(F.col("text")), " "), lambda w: w != "")
-    rows = rows.select(key, words.alias("ws")).where(F.size("ws") >= n)
-    return rows.select(key, "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - n + 1)).alias("i")).select(key, F.array_join(F.slice("ws", F.col("i"), n), " ").alias("gram")).distinct()
+    return rows.select(key, words.alias("ws")).where(F.size("ws") >= GRAM)
+
+
+def _grams(rows, key):
+    """(key, i, h): the place and a hash of each run of GRAM words."""
+    rows = rows.select(key, F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    rows = rows.select(key, "hs", F.explode(F.sequence(F.lit(0), F.size("hs") - GRAM)).alias("i"))
+    return rows.select(key, "i", F.xxhash64(*[F.get("hs", F.col("i") + j) for j in range(GRAM)]).alias("h"))
 
 
 GRAMS = """
@@ -85,7 +95,12 @@ b AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT
 
 @book.query("documents", "benchmark", sql=GRAMS + "SELECT DISTINCT doc_id FROM d WHERE g IN (SELECT g FROM b)")
 def contamination_semi(docs, bench):
-    return _ngrams(docs, "doc_id").join(_ngrams(bench, "item_id").select("gram"), "gram", "left_semi").select("doc_id").distinct()
+    """Hashes find the few places that can be shared; only there are the words compared."""
+    words, items = _wordy(docs, "doc_id"), _wordy(bench, "item_id")
+    at = _grams(items, "item_id").join(items, "item_id").select("h", F.slice("ws", F.col("i") + 1, GRAM).alias("gram")).distinct()
+    at = F.broadcast(at) if at.count() <= BROADCAST_GRAMS else at
+    hits = _grams(words, "doc_id").join(at, "h").select("doc_id", "i", "gram")
+    return words.join(hits, "doc_id").where(F.slice("ws", F.col("i") + 1, GRAM) == F.col("gram")).select("doc_id").distinct()
 
 
 @book.query("documents", "benchmark", sql=GRAMS + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d WHERE g IN (SELECT g FROM b))")

@@ -69,3 +69,27 @@ def test_runs(spark, tmp_path):
     got = {r.id: (r.prediction, r.seconds, r.usage) for r in R.predictions(system, entries).collect()}
     assert got == {"a": ("{}", None, None), "b": (None, None, None), "c": (None, None, None)}
     assert R.result_folder("out/", True) == "out/partial" and R.result_folder("out", False) == "out"
+
+
+def test_folds(spark):
+    """The native way for plain Latin texts gives what the Unicode tables give."""
+    from random import Random
+
+    from foliary.functions import text as T
+
+    rnd = Random(9)
+    letters = [chr(c) for c in [*range(0, 0x180), *range(0x2010, 0x2024), 0x20AC, 0x301, 0x327, 0x3A9, 0x1E9E, 0xFB01, 0x4E2D] if c]
+    texts = ["".join(rnd.choice(letters[: rnd.choice((128, 256, 383, len(letters)))]) for _ in range(rnd.randrange(1, 12))) for _ in range(4000)] + letters + ["", None, "Ñandú  ÁÉÍ\tœuvre Straße"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold("t").alias("f"), T.unaccent("t").alias("u")).collect()
+    bad = [(r.t, r.f, r.u) for r in got if r.t is not None and (r.f != T._fold(r.t) or r.u != T._unaccent(r.t))]
+    assert not bad
+    assert any(r.t is None and r.f is None for r in got)
+
+
+def test_numbered(spark):
+    from foliary.operators.records import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 10007).alias("key"))
+    got = [r.key for r in numbered(rows, "key", per_range=60).orderBy("k").collect()]
+    assert got == sorted(i * 7919 % 10007 for i in range(1000))
+    assert [r.k for r in numbered(rows, "key").orderBy("key").collect()] == list(range(1, 1001))
