@@ -48,37 +48,24 @@ def _clean(t: str) -> str:
     return unicodedata.normalize("NFC", re.sub("[\u00a0\u202f\u2007]", " ", t))
 
 
-def _latin() -> dict[str, str]:
-    """Latin letters with marks, by their code points, and the bare ones."""
-    bare = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x180) if unicodedata.decomposition(chr(c)) and not unicodedata.decomposition(chr(c)).startswith("<")}
-    return {a: b for a, b in bare.items() if b.isascii()}
-
-
-LATIN = _latin()
-#: Texts of these characters alone need no Unicode tables: their letters are in LATIN or have no marks.
-PLAIN = r"\A[\x00-\x7F\x{A1}\x{A7}\x{AB}\x{B6}\x{B7}\x{BB}\x{BF}-\x{FF}\x{2010}\x{2012}-\x{2015}\x{2018}-\x{2023}\x{20AC}" + "".join(sorted(c for c in LATIN if c > "ÿ")) + r"]*\z"
 PYTHON_SPACE = r"[\x09-\x0D\x1C-\x20]+"
 
 
 def _folding(native: Callable[[Column], Column], slow: Callable[[str], str]) -> Callable[[Column | str], Column]:
-    """native for PLAIN texts; an Arrow UDF gets the others alone."""
+    """native for ASCII texts; an Arrow UDF gets the others alone."""
     rest = series_udf(slow)
 
     def apply(col: Column | str) -> Column:
         col = F.col(col) if isinstance(col, str) else col
-        plain = col.rlike(PLAIN)
+        plain = F.octet_length(col) == F.char_length(col)
         return F.when(plain, native(col)).otherwise(rest(F.when(~plain, col)))
 
     apply.__doc__ = slow.__doc__
     return apply
 
 
-def _bare(col: Column) -> Column:
-    return F.lower(F.translate(col, "".join(LATIN), "".join(LATIN.values())))
-
-
-fold = _folding(lambda c: F.trim(F.regexp_replace(_bare(c), PYTHON_SPACE, " ")), _fold)
-unaccent = _folding(_bare, _unaccent)
+fold = _folding(lambda c: F.trim(F.regexp_replace(F.lower(c), PYTHON_SPACE, " ")), _fold)
+unaccent = _folding(F.lower, _unaccent)
 clean_extracted = series_udf(_clean)
 
 

@@ -80,10 +80,10 @@ def _wordy(rows, key):
 
 
 def _grams(rows, key):
-    """(key, i, h): the place and a hash of each run of GRAM words."""
-    rows = rows.select(key, F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
-    rows = rows.select(key, "hs", F.explode(F.sequence(F.lit(0), F.size("hs") - GRAM)).alias("i"))
-    return rows.select(key, "i", F.xxhash64(*[F.get("hs", F.col("i") + j) for j in range(GRAM)]).alias("h"))
+    """(key, i, h): the place and a hash of each run of GRAM words. Only hashes are exploded."""
+    runs = lambda hs: F.transform(F.sequence(F.lit(0), F.size(hs) - GRAM), lambda i: F.xxhash64(*[F.get(hs, i + j) for j in range(GRAM)]))
+    hashes = F.transform(F.array(F.transform("ws", lambda w: F.xxhash64(w))), runs)[0]
+    return rows.select(key, F.posexplode(hashes).alias("i", "h"))
 
 
 GRAMS = """
