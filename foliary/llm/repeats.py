@@ -311,3 +311,19 @@ def without_repeats(docs: DataFrame, scale: Scale = WORDS) -> DataFrame:
     if "n_chars" in docs.columns:
         changed = changed.withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
     return rows.select(F.when(hit, changed).otherwise(row).alias("row")).select("row.*")
+
+
+#: DuckDB SQL for repeat_digests, for small tables: every string of 400 bytes and every 50 words by themselves.
+ORACLE = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, i, md5(array_slice(b, i + 1, i + 400)) AS h FROM (SELECT r, b, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM s) WHERE c > 1),
+g AS (SELECT r, i, sum(far) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS far FROM t)),
+u AS (SELECT r, run, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY ALL),
+k AS (SELECT r, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS a, lo AS z FROM u UNION ALL SELECT r, max(hi), NULL FROM u GROUP BY r),
+c AS (SELECT k.r, sha256(unhex(string_agg(hex(array_slice(b, a + 1, coalesce(z, n))), '' ORDER BY a))) AS kept FROM k JOIN d USING (r) WHERE a < coalesce(z, n) GROUP BY k.r),
+m AS (SELECT r, sum(hi - lo)::BIGINT AS gone, count(*)::BIGINT AS runs FROM u GROUP BY r),
+p AS (SELECT r, i, md5(array_to_string(w[i:i + 49], ' ')) AS h, md5(doc_id || ' ' || hex(b)) AS doc FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+q AS (SELECT r, i FROM (SELECT r, i, min(doc) OVER (PARTITION BY h) < max(doc) OVER (PARTITION BY h) AS hit FROM p) WHERE hit),
+v AS (SELECT r, sum(least(50, coalesce(after, i + 50) - i))::BIGINT AS words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM q) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(runs, 0) AS n_spans, CASE WHEN gone IS NULL THEN sha256(b) ELSE coalesce(kept, sha256(''::BLOB)) END AS kept_sha256, coalesce(words, 0) AS passage_words
+FROM d LEFT JOIN m USING (r) LEFT JOIN c USING (r) LEFT JOIN v USING (r)"""
