@@ -280,3 +280,16 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(classes(docs.select("doc_id", "text")), "classes")
     kept = rows.groupBy("class").agg(F.min(F.struct("id", "rid", "tie")).alias("x")).select("x.id", "x.tie")
     return packed(docs).join(kept, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"]).select("row.*")
+
+
+#: DuckDB SQL for near_duplicate_classes over tables without repeated ids: all pairs that share a shingle, exactly.
+ORACLE = r"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+g AS MATERIALIZED (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id, h) AS k FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY ALL),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.h = b.h AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)
+  UNION ALL SELECT min(doc_id) OVER (), doc_id FROM d WHERE len(w) = 0),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT x.t, r.root FROM r JOIN (SELECT a AS f, b AS t FROM e UNION SELECT b, a FROM e) x ON x.f = r.doc_id WHERE r.root < x.t),
+c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY ALL)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS keep FROM c"""

@@ -79,7 +79,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from foliary.llm.chat import ORACLE as CHAT
     from foliary.llm.mixing import ORACLE as MIX
+    from foliary.llm.neardup import ORACLE as NEAR
     from foliary.llm.repeats import ORACLE as REPEATS
     from foliary.llm.urls import ORACLE as URLS
 
-    return {"op1_mix_sources": MIX, "op2_chat_prefix_tree": CHAT, "op5_repeated_bytes": REPEATS, "op9_url_filter": URLS}
+    return {"op1_mix_sources": MIX, "op2_chat_prefix_tree": CHAT, "op5_repeated_bytes": REPEATS, "op7_near_duplicates": NEAR, "op9_url_filter": URLS}
