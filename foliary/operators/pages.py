@@ -75,9 +75,9 @@ def flipped(items: DataFrame) -> DataFrame:
 
 
 def line_blocks(blocks: DataFrame) -> DataFrame:
-    """SRC38: (doc_id, page, lines, confidence) of the blocks that are lines with text; percents to 0 to 1."""
+    """SRC38: (doc_id, page, lines, confidence) of the blocks that are lines with text; percents to 0 to 1, null where none is told."""
     rows = blocks.where("kind = 'LINE'").where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), BLANK, " ")) != "")
-    return rows.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("lines"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("confidence") / 100)).alias("confidence"))
+    return rows.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("lines"), F.when(F.count("confidence") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("confidence") / 100))).alias("confidence"))
 
 
 def recognized(ocr: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ def ocr_items_flipped(items):
     return P.flipped(rows).select("doc_id", "seq", "x", "y", "has_eol")
 
 
-@book.query("lineitem", sql="SELECT l_orderkey AS doc_id, l_suppkey AS page, count(*)::BIGINT AS lines, round(greatest(0.0, least(1.0, avg(l_quantity * 3) / 100)), 9) AS confidence FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL")
+@book.query("lineitem", sql="SELECT l_orderkey AS doc_id, l_suppkey AS page, count(*)::BIGINT AS lines, CASE WHEN count(*) FILTER (l_linestatus = 'O') > 0 THEN round(greatest(0.0, least(1.0, avg(CASE WHEN l_linestatus = 'O' THEN l_quantity * 3 END) / 100)), 9) END AS confidence FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL")
 def ocr_line_blocks(items):
-    rows = items.select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("page"), F.lit("LINE").alias("kind"), F.when(F.col("l_returnflag") == "N", " \t").otherwise(F.col("l_returnflag")).alias("text"), (F.col("l_quantity") * 3).alias("confidence"))
+    rows = items.select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("page"), F.lit("LINE").alias("kind"), F.when(F.col("l_returnflag") == "N", " \t").otherwise(F.col("l_returnflag")).alias("text"), F.when(F.col("l_linestatus") == "O", F.col("l_quantity") * 3).alias("confidence"))
     words = rows.withColumn("kind", F.lit("WORD"))
     return P.line_blocks(rows.unionByName(words)).withColumn("confidence", F.round("confidence", 9))
 
