@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules in foliary.plans, each with QUERIES (name -> callable) and ORACLES (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("pages", "adapters", "made", "runs", "texts", "dates", "scores", "markup", "records", "phrases", "people")
+MODULES: tuple[str, ...] = ("pages", "adapters", "made", "synthetic", "runs", "texts", "dates", "scores", "markup", "records", "phrases", "people")
 
 
 def queries() -> dict[str, Callable]:

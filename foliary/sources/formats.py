@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions.lexicon import ENTITIES
 from foliary.functions.text import series_udf
+from foliary.sources.docx import docx_text
 
 _magic = lambda c, h: F.startswith(F.hex(F.substring(c, 1, len(h) // 2)), F.lit(h))
 
@@ -136,25 +134,6 @@ def html_blocks(html: str | None) -> str | None:
 
 html_text, entity_text = series_udf(html_blocks), series_udf(decode_entities)
 
-W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def docx_paragraphs(content: bytes, cap: int = 256 << 20) -> str:
-    """SRC13-15: the main part's paragraphs; tables by row; a part over the cap is an error."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        rels = z.read("_rels/.rels").decode() if "_rels/.rels" in z.namelist() else ""
-        m = re.search(r'officeDocument"[^>]*Target="/?([^"]+)"', rels) or re.search(r'Target="/?([^"]+)"[^>]*officeDocument"', rels)
-        info = z.getinfo(m[1] if m else "word/document.xml")
-        if info.file_size > cap:
-            raise ValueError("too large")
-        root = ElementTree.fromstring(z.read(info))
-    lines = []
-    for p in root.iter(f"{W}p"):
-        text = "".join({f"{W}t": e.text or "", f"{W}tab": "\t", f"{W}br": "\n"}.get(e.tag, "") for e in p.iter())
-        lines.append(("- " if p.find(f"{W}pPr/{W}numPr") is not None else "") + text.strip())
-    return "\n".join(x for x in lines if x.strip(" -"))
-
-
 def read_documents(spark: SparkSession, path: str, readers: dict[str, Callable[[bytes], str]] | None = None, glob: str = "*") -> DataFrame:
     """SRC6, SRC30: files to (path, format, text, error). Readers for pdf and image formats are passed in."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(~F.element_at(F.split("path", "/"), -1).startswith("."))
@@ -163,7 +142,7 @@ def read_documents(spark: SparkSession, path: str, readers: dict[str, Callable[[
 
 
 def extract(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    readers = {"docx": docx_paragraphs} | (readers or {})
+    readers = {"docx": docx_text} | (readers or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
