@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import platform
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -112,3 +114,13 @@ def command_line(args: Column) -> Column:
         return F.when(hidden, "<redacted>").when(F.startswith(a, F.lit("--api-key=")), "--api-key=<redacted>").when(a.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$"), a).otherwise(quoted)
 
     return F.array_join(F.transform(args, word), " ")
+
+
+def hardware() -> str:
+    """UDX15: the driver's processors and system, unless a caller names the cluster."""
+    return f"{os.cpu_count()} x {platform.machine()}, {platform.system()}"
+
+
+def provenance(spark: SparkSession) -> dict[str, str]:
+    """UDX15: what a run's results may depend on beside its inputs."""
+    return {"python": platform.python_version(), "spark": spark.version, "master": spark.conf.get("spark.master", ""), "partitions": spark.conf.get("spark.sql.shuffle.partitions", "")}
