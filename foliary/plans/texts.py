@@ -54,16 +54,22 @@ i AS (SELECT doc_id, item_id, count(*) AS k FROM d JOIN b USING (w) GROUP BY ALL
 """.format(SCORED)
 
 
-def _words(rows, key):
-    return rows.select(key, F.explode(T.token_set(F.col("text"))).alias("w"))
+#: Words and items of a benchmark up to this number of rows are broadcast; a larger one is joined by shuffle, whose hot words Spark splits.
+BROADCAST_WORDS = 1_000_000
+
+
+def _words(rows, key, n):
+    # explode_outer, for Spark would fold the text once more to filter what explode drops; an empty set's null word meets none
+    sets = rows.select(key, T.token_set(F.col("text")).alias("words")).select(key, "words", F.size("words").alias(n))
+    return sets.select(key, n, F.explode_outer("words").alias("w"))
 
 
 @book.query("documents", "benchmark", sql=RARE + "SELECT item_id, doc_id, k::BIGINT AS shared, k::DOUBLE / (dn.n + bn.n - k) AS jaccard FROM i JOIN dn USING (doc_id) JOIN bn USING (item_id) WHERE k * 10 >= (dn.n + bn.n - k)")
 def jaccard_pairs(docs, bench):
-    d, b = _words(docs, "doc_id"), _words(bench, "item_id")
-    shared = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
-    dn, bn = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), b.groupBy("item_id").agg(F.count(F.lit(1)).alias("m"))
-    out = shared.join(dn, "doc_id").join(bn, "item_id").withColumn("union", F.col("n") + F.col("m") - F.col("shared")).where("shared * 10 >= union")
+    d, b = _words(docs, "doc_id", "n"), _words(bench, "item_id", "m")
+    b = F.broadcast(b) if b.count() <= BROADCAST_WORDS else b
+    out = d.join(b, "w").groupBy("doc_id", "n", "item_id", "m").agg(F.count(F.lit(1)).alias("shared"))
+    out = out.withColumn("union", F.col("n") + F.col("m") - F.col("shared")).where("shared * 10 >= union")
     return out.select("item_id", "doc_id", "shared", (F.col("shared") / F.col("union")).alias("jaccard"))
 
 
