@@ -33,12 +33,14 @@ LINKS = regex.compile(r"\s+(?:de la|de los|de las|del|en|at|@)\s+", regex.I)
 PROSE_LINKS = regex.compile(r"\s+(?:en(?:\s+(?:el|la|los|las))?|de(?:\s+(?:la|los|las))?|del|para(?:\s+(?:el|la|los|las))?|at|@|with)\s+", regex.I)
 LOWERCASE_ARTICLE = regex.compile(r"^(?:el|la|los|las)\s+(?=\p{L})")
 ACRONYM = regex.compile(r"^[\p{Lu}.&]{2,8}$")
+WORD_BREAKS, NUMBERS = regex.compile(r"[\s,./()·|—–-]+"), regex.compile(r"\p{N}")
 
 #: Only whether a phrase reads as a date matters here, so any day does.
 SOME_DAY = dt.date(2026, 1, 1)
 
 fold = lru_cache(100_000)(_fold)
 _legal = regex.compile(LEGAL_SUFFIX)
+_orgs, _roles = frozenset(ORG_WORDS), frozenset(ROLE_WORDS)
 
 
 def said(value: object) -> str | None:
@@ -47,7 +49,7 @@ def said(value: object) -> str | None:
 
 
 def words(folded: str) -> list[str]:
-    return regex.split(r"[\s,./()·|—–-]+", folded)
+    return WORD_BREAKS.split(folded)
 
 
 def legal_suffix(text: str) -> bool:
@@ -55,12 +57,12 @@ def legal_suffix(text: str) -> bool:
 
 
 def organization(text: str) -> bool:
-    return legal_suffix(text) or not set(ORG_WORDS).isdisjoint(words(fold(text)))
+    return legal_suffix(text) or not _orgs.isdisjoint(words(fold(text)))
 
 
 def job_title(text: str) -> bool:
     folded = fold(text)
-    return bool(folded) and not regex.search(r"\p{N}", folded) and not organization(text) and not set(ROLE_WORDS).isdisjoint(words(folded))
+    return bool(folded) and not NUMBERS.search(folded) and not organization(text) and not _roles.isdisjoint(words(folded))
 
 
 def starts_with_role(text: str) -> bool:
@@ -87,11 +89,14 @@ def employer_like(after: str, link: str, before: str) -> bool:
     return organization(after) or title_case(after, 1 if link in ("at", "@", "with") else 2)
 
 
+_academic = regex.compile(rf"(?:{'|'.join(ACADEMIC_ROLES)})(?![\p{{L}}\p{{N}}])")
+
+
 def job_position(position: str | None) -> bool:
     """CLS14: a job, not a degree; an academic role is a job though its name holds a degree."""
     if not position or not job_title(position):
         return False
-    return bool(regex.match(rf"(?:{'|'.join(ACADEMIC_ROLES)})(?![\p{{L}}\p{{N}}])", fold(position))) or find_degree(position) is None
+    return bool(_academic.match(fold(position))) or find_degree(position) is None
 
 
 def title_like(name: str, headline: str | None) -> bool:
@@ -109,12 +114,15 @@ def low_value(heading: str) -> bool:
     return 1 <= len(line) <= 60 and bool(_low.fullmatch(line))
 
 
+_level_marks, _level_code = regex.compile(r"[()\[\].,;:/\\|-]+"), regex.compile(r"(?<![\p{L}\p{N}])[abc][12]\+?(?![\p{L}\p{N}])")
+
+
 def language_level(text: str) -> bool:
     """CLS9."""
-    line = regex.sub(r"[()\[\].,;:/\\|-]+", " ", fold(text)).strip()
+    line = _level_marks.sub(" ", fold(text)).strip()
     if not line or len(line.split()) > 4:
         return False
-    return bool(regex.search(r"(?<![\p{L}\p{N}])[abc][12]\+?(?![\p{L}\p{N}])", line)) or any(has_term(line, w) for w in (*LEVEL_PHRASES, *LEVEL_WORDS))
+    return bool(_level_code.search(line)) or any(has_term(line, w) for w in (*LEVEL_PHRASES, *LEVEL_WORDS))
 
 
 @lru_cache(20_000)

@@ -27,7 +27,12 @@ def series_udf(one: Callable[[str], object], kind: str = "string") -> Callable[.
 
 def _strip(text: str, form: str = "NFD") -> str:
     text = unicodedata.normalize(form, text)
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.category(c).startswith("M")) if not text.isascii() else text
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFD", text)
+    for mark in [c for c in set(text) if unicodedata.category(c).startswith("M")]:
+        text = text.replace(mark, "")
+    return text
 
 
 def _fold(t: str) -> str:

@@ -45,13 +45,32 @@ def _times(x: Column, y: Column) -> Column:
     return _low(x.bitwiseAND(half) * y + F.shiftleft((F.shiftright(x, 16) * y).bitwiseAND(half), 16))
 
 
+def _odd(x: Column, bits: int) -> Column:
+    return x.bitwiseOR(F.lit(bits).cast("long"))
+
+
+#: The generator mulberry32, from a state to a number from 0 to 1. Each step takes its argument several times over.
+_STEPS = (
+    lambda a: _times(a.bitwiseXOR(F.shiftright(a, 15)), _odd(a, 1)),
+    lambda t: t.bitwiseXOR(_low(t + _times(t.bitwiseXOR(F.shiftright(t, 7)), _odd(t, 61)))),
+    lambda t: t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(2.0**32),
+)
+
+
 def draw(seed: Column, nth: int = 0) -> Column:
     """STR12: the nth number from 0 to 1 of the 32-bit generator mulberry32 with this seed."""
-    odd = lambda x, bits: x.bitwiseOR(F.lit(bits).cast("long"))
-    a = _low(seed.cast("long") + F.lit((nth + 1) * 0x6D2B79F5).cast("long"))
-    t = _times(a.bitwiseXOR(F.shiftright(a, 15)), odd(a, 1))
-    t = t.bitwiseXOR(_low(t + _times(t.bitwiseXOR(F.shiftright(t, 7)), odd(t, 61))))
-    return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(2.0**32)
+    out = _low(seed.cast("long") + F.lit((nth + 1) * 0x6D2B79F5).cast("long"))
+    for step in _STEPS:
+        out = step(out)
+    return out
+
+
+def draws(seed: Column, n: int) -> Column:
+    """The first n numbers of draw, as an array. Each step is a pass of its own: lambdas share nothing, so nested steps would be run some 50 times over."""
+    out = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: _low(seed.cast("long") + k * F.lit(0x6D2B79F5).cast("long")))
+    for step in _STEPS:
+        out = F.transform(out, step)
+    return out
 
 
 def draw_int(seed: Column, least: int, most: int, nth: int = 0) -> Column:

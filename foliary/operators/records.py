@@ -43,6 +43,11 @@ def numbered(rows: DataFrame, key: str, out: str = "k", per_range: int = 100_000
     return rows.withColumn(out, F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy(key))).drop("_range", "_base")
 
 
+def spread(rows: DataFrame, per_task: int = 5_000) -> DataFrame:
+    """Rows dealt out to as many tasks as their number asks for: many rows of few bytes are one task's file, whatever is done to each."""
+    return rows.repartition(rows.count() // per_task + 1)
+
+
 def first_by(rows: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """AGG6-8: of rows with equal keys the first stays."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.functions.text import unaccent
-from foliary.functions.written import draw, written_range
+from foliary.functions.written import draws, written_range
 
 # Fixed values that must equal the reference's for right results: the plan of a data set, its countries and how they write phones.
 PLAN = (("single-column", "pdf", 11, (3,)), ("two-column", "pdf", 11, ()), ("sidebar", "pdf", 8, ()), ("single-column", "docx", 6, (2,)), ("table", "docx", 6, ()), ("textbox", "docx", 4, ()), ("functional", "pdf", 4, ()), ("academic", "pdf", 4, ()), ("scanned", "image", 4, ()), ("scanned", "pdf", 2, ()))
@@ -22,17 +22,14 @@ FIRMS = ("Norte Azul S.A.", "Talleres Lumen", "Grupo Cardón", "Molinos del Este
 SKILLS = ("Go", "SQL", "Python", "Excel", "Figma", "Docker", "Java", "Rust")
 STYLES = ("month-name", "mm-yyyy", "abbr-dot", "abbr-cap")
 
+#: The number drawn for the first character of a phone; those before are for the rest.
+PHONE_AT = 20
+
 
 def _pick(values: tuple, at: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
 
 
-def draws(seed: Column, n: int) -> Column:
-    """The first n numbers from 0 to 1 of the generator with this seed, as an array."""
-    step = F.lit(0x6D2B79F5).cast("long")
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: draw(seed + k * step))
-
-
 def _int(u: Column, k: int, least: int, most: int) -> Column:
     return (F.floor(F.get(u, k) * (most - least + 1)) + least).cast("long")
 
@@ -81,7 +78,7 @@ def people(rows: DataFrame, index: str) -> DataFrame:
     style, the later first and maybe going on, skills and a language. The same number gives the same person anywhere.
     """
     seed = F.pmod(F.col(index).cast("long") * 2654435761, F.lit(2**32))
-    rows = rows.withColumn("plan", planned(F.col(index))).withColumn("_u", draws(seed, 64))
+    rows = rows.withColumn("plan", planned(F.col(index))).withColumn("_u", draws(seed, PHONE_AT + max(map(len, PHONES.values()))))
     u, cc = F.col("_u"), F.col("plan.country")
     at = _int(u, 0, 0, len(NAMES) - 1).cast("int")
     # Months are counted from the year 0: an early job, a gap, and a later one that may go on.
@@ -99,7 +96,7 @@ def people(rows: DataFrame, index: str) -> DataFrame:
         return F.struct(_drawn(FIRMS, u, 12 + k).alias("name"), title.alias("position"), iso(a).alias("startDate"), F.when(b.isNotNull(), iso(b)).alias("endDate"), written_range(style, y(a), m(a), y(b), m(b)).alias("written"))
 
     skills = F.array_distinct(F.array(*[_drawn(SKILLS, u, 14 + k) for k in range(3)]))
-    rows = rows.select("*", F.concat_ws(" ", first, last).alias("_n"), mail.alias("_m"), phone(cc, u, 20).alias("_p"), city.alias("_c"), F.array(job(0, F.col("_d"), F.col("_e")), job(1, F.col("_a"), F.col("_b"))).alias("_w"), skills.alias("_s"))
+    rows = rows.select("*", F.concat_ws(" ", first, last).alias("_n"), mail.alias("_m"), phone(cc, u, PHONE_AT).alias("_p"), city.alias("_c"), F.array(job(0, F.col("_d"), F.col("_e")), job(1, F.col("_a"), F.col("_b"))).alias("_w"), skills.alias("_s"))
     work = F.transform("_w", lambda x: x.dropFields("written"))
     basics = F.struct(F.col("_n").alias("name"), F.col("_m").alias("email"), F.col("_p").alias("phone"), F.struct(F.col("_c").alias("city"), cc.alias("countryCode")).alias("location"))
     record = F.struct(basics.alias("basics"), work.alias("work"), F.transform("_s", lambda s: F.struct(s.alias("name"))).alias("skills"), F.array(F.struct(F.lit("Inglés").alias("language"), F.lit("B2").alias("fluency"))).alias("languages"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliary.functions.dates import date_range
 from foliary.operators import synthetic as Y
 from foliary.operators.grounding import ground
+from foliary.operators.records import spread
 from foliary.plans.registry import Book
 
 book = Book()
@@ -45,7 +46,7 @@ def people_read_back(customer):
 @book.query("customer", sql="SELECT c_custkey, true AS kept, '' AS missing FROM customer")
 def people_grounded(customer):
     """Grounding a record against the text that was made with it keeps its address, phone, skills and languages, and misses no section."""
-    rows = Y.people(customer.select("c_custkey"), "c_custkey")
+    rows = Y.people(spread(customer.select("c_custkey")), "c_custkey")
     told = "basics struct<email: string, phone: string>, skills array<struct<name: string>>, languages array<struct<language: string, fluency: string>>"
     rows = rows.withColumn("g", ground(F.to_json("record", {"ignoreNullFields": "false"}), F.col("text")))
     part = lambda c: F.to_json(F.from_json(c, told))
