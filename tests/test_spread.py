@@ -9,7 +9,7 @@ from foliary import catalog
 from foliary.functions.written import draw
 
 
-@pytest.mark.parametrize("query", ["people_grounded"])
+@pytest.mark.parametrize("query", ["people_grounded", "people_read_back"])
 def test_rows_of_one_file_are_many_tasks(spark, tmp_path, query):
     spark.range(12_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     got = catalog.queries()[query](spark, str(tmp_path)).select("c_custkey", F.spark_partition_id().alias("task"))
@@ -37,3 +37,19 @@ def test_marks_go():
     for t in [*texts, "".join(marks), "", "abc"]:
         plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t))
         assert _strip(t, "NFKC") == "".join(c for c in plain if not unicodedata.category(c).startswith("M"))
+
+
+def test_readings_kept():
+    """What a worker keeps is what it would read, and only of short texts."""
+    import datetime as dt
+
+    from foliary.functions import dates as D
+
+    ref, other = dt.date(2026, 1, 15), dt.date(2020, 3, 1)
+    for t in [None, "", "Marzo 2021", "hace 2 años", "03/2015 - Actualidad", "ene. 2004 – dic. 2009", "2010", "x" * 70, "enero 2004" + " " * 60]:
+        for r in (ref, other, ref):
+            assert D.read_date(t, r) == tuple(D.normalize(t, r).values())
+            assert D.read_range(t, r) == ((x := D.split_range(t, r)) and tuple(x.values()))
+    held = D._kept_range.cache_info().currsize
+    D.read_range("y" * 61, ref)
+    assert D._kept_range.cache_info().currsize == held
