@@ -21,7 +21,7 @@ SELECT p.page_id, coalesce(string_agg(CASE WHEN item THEN '- ' || array_to_strin
 
 @book.query("pages", sql=HTML_SQL)
 def html_text(pages):
-    return pages.select("page_id", S.html_text("html").alias("text"))
+    return pages.select("page_id", F.coalesce(S.html_text("html"), F.lit("")).alias("text"))
 
 
 @book.query("pages", sql="SELECT page_id, len(regexp_extract_all(html, '<p[ >]'))::BIGINT AS n_paragraphs, len(regexp_extract_all(html, '<li[ >]'))::BIGINT AS n_items, len(regexp_extract_all(html, '&[a-z]+;'))::BIGINT AS n_entities FROM pages")

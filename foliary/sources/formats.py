@@ -62,7 +62,11 @@ def decode_entities(text: str) -> str:
 
 
 class _Blocks(HTMLParser):
-    """HTM1-4: paragraphs, list items and tables as blocks of text; scripts and styles are skipped."""
+    """HTM1-4: paragraphs, list items and tables as blocks of text; scripts and styles are skipped.
+
+    The parser reads a name after & as an entity even without a semicolon and doesn't tell which, so it gets every & as
+    &amp;, and entities are decoded in the text between two tags as it was written.
+    """
 
     BLOCK = frozenset("p div section article header footer nav main aside h1 h2 h3 h4 h5 h6 ul ol body html title blockquote pre".split())
 
@@ -70,11 +74,18 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.blocks: list[str] = []
         self.now: list[str] = []
+        self.run: list[str] = []
         self.skip = 0
         self.rows: list[list[str]] | None = None
         self.item = False
 
+    def end_run(self, *_: object) -> None:
+        if self.run:
+            self.now.append(decode_entities("".join(self.run).replace("&amp;", "&")))
+            self.run = []
+
     def close_block(self) -> None:
+        self.end_run()
         text = "\n".join(x for x in (re.sub(r"[ \t\r\f\v\n]+", " ", y).strip() for y in "".join(self.now).split("\0")) if x)
         self.now = []
         if text and self.rows is not None:
@@ -83,6 +94,7 @@ class _Blocks(HTMLParser):
             self.blocks.append("- " + text.replace("\n", "\n  ") if self.item else text)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.end_run()
         if tag in ("script", "style", "noscript"):
             self.skip += 1
         elif tag == "br":
@@ -99,6 +111,7 @@ class _Blocks(HTMLParser):
             self.item = tag == "li" or self.item and tag not in ("ul", "ol")
 
     def handle_endtag(self, tag: str) -> None:
+        self.end_run()
         if tag in ("script", "style", "noscript"):
             self.skip = max(0, self.skip - 1)
         elif tag in ("td", "th") and self.rows and self.rows[-1]:
@@ -113,20 +126,19 @@ class _Blocks(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skip and not (self.rows is not None and not (self.rows and self.rows[-1])):
-            self.now.append(data)
+            self.run.append(data)
 
     def handle_entityref(self, name: str) -> None:
-        self.handle_data(decode_entities(f"&{name};"))
+        self.handle_data(f"&{name};")
 
-    def handle_charref(self, name: str) -> None:
-        self.handle_data(decode_entities(f"&#{name};"))
+    handle_comment = handle_decl = handle_pi = unknown_decl = end_run
 
 
 def html_blocks(html: str | None) -> str | None:
     if html is None:
         return None
     p = _Blocks()
-    p.feed(html)
+    p.feed(html.replace("&", "&amp;"))
     p.close()
     p.close_block()
     return "\n".join(p.blocks)
