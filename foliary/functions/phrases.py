@@ -138,6 +138,8 @@ def term(folded: str) -> regex.Pattern | None:
 
 
 def has_term(folded: str, wanted: str) -> bool:
+    if wanted.isalpha() and wanted not in folded:  # letters alone are their own pattern, but for the borders
+        return False
     pattern = term(wanted)
     return bool(pattern and pattern.search(folded))
 

@@ -53,3 +53,22 @@ def test_readings_kept():
     held = D._kept_range.cache_info().currsize
     D.read_range("y" * 61, ref)
     assert D._kept_range.cache_info().currsize == held
+
+
+def test_terms_of_letters():
+    """What is told without the pattern is what the pattern tells."""
+    from foliary.functions import phrases as P
+
+    rnd = Random(7)
+    texts = ["".join(rnd.choice("ab ñ.-/+1#") for _ in range(rnd.randrange(12))) for _ in range(2_000)]
+    terms = ["", "a", "ab", "ñ", "a b", "a-b", "b.", "1a", "ba"]
+    assert all(P.has_term(t, w) == bool((p := P.term(w)) and p.search(t)) for t in texts for w in terms)
+
+
+def test_copied():
+    from foliary.operators.grounding import copied
+
+    value = {"a": [{"b": None, "c": [1, "x"]}], "d": {}}
+    other = copied(value)
+    other["a"][0]["c"].append(2)
+    assert value == {"a": [{"b": None, "c": [1, "x"]}], "d": {}} and other["a"][0]["c"] == [1, "x", 2]
